@@ -18,6 +18,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layoutcheck.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layoutcheck.llm.sharding import assign_shards
+
+    return assign_shards(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layoutcheck.llm.substring import remove_repeats
@@ -43,3 +57,39 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
        sha256(coalesce(s, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+
+@_query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layoutcheck.llm.chat import format_chats, read_loss, read_turns
+
+    added = spark.sql("SELECT -7L AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    made = format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
+    turns, loss, line = read_turns(F.col("formatted")), read_loss(F.col("segments")), F.lit("\n")
+    return made.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], line, t["text"], line)), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+ORACLES["op10_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS prev,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS nth,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(9 + 8 + 7 + length(replace(replace(r, '\', '\\'), '<|', '<\|')) + length(replace(replace(t, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars,
+  bool_and((prev IS NULL AND nth = 1 AND r IN ('system', 'user')) OR coalesce((prev, r) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')), false))
+    AND NOT bool_or(nth = n AND r = 'system') AS valid
+FROM p GROUP BY conv_id
+"""
