@@ -25,6 +25,13 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layoutcheck.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layoutcheck.llm.sharding import assign_shards
