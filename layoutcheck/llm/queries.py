@@ -18,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layoutcheck.llm.ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @_query
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layoutcheck.llm.mixing import mix_sources
