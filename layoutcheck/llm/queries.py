@@ -93,6 +93,13 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+@_query
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layoutcheck.llm.html import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layoutcheck.llm.nearvec import near_duplicates
