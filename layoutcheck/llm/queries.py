@@ -39,6 +39,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from layoutcheck.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    net = langid.fit(docs)
+    done = langid.identify(docs.select("doc_id", "text"), net)
+    return done.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op5_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from layoutcheck.llm.mips import top_inner_products
