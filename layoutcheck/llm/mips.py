@@ -9,6 +9,8 @@ only pairs whose bound reaches the k-th score get an exact score. The longest
 vectors of all give each query a first k-th score.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,8 +20,8 @@ from layoutcheck.llm.nearvec import _adder, _moments, _rows
 from layoutcheck.llm.shared import Scratch, partitions, small_batches
 
 SCALE = 256
-#: Rotated coordinates in a partial sum.
-LEADING = 16
+#: Rotated coordinates in the partial sums, of which each is tested against the bound.
+LEVELS = (16, 32)
 #: Candidates in a block; longest candidates that give first bounds; queries that are sent to all tasks at once.
 BLOCK, HEAD, QUERIES = 1024, 2048, 8192
 
@@ -79,44 +81,59 @@ class _Best:
         self.kth[query[last]] = np.maximum(self.kth[query[last]], score[last])
 
 
-def scan(best: _Best, queries, turned_q, rest_q, norm_q, ids_q, x, turned_x, rest_x, norm_x, ids_x) -> None:
-    """One block of candidates by descending norm against the queries."""
-    kth = best.kth
-    slack = 1e-9 * norm_q * (norm_x[0] if len(norm_x) else 0) + 0.5  # scores are whole numbers
-    active = np.flatnonzero(norm_q * norm_x[0] + slack >= kth)
-    if not len(active):
-        return
-    bound = turned_q[active] @ turned_x.T
-    bound += np.outer(rest_q[active], rest_x)
-    p, q = np.nonzero(bound >= (kth[active] - slack[active])[:, None])
-    p = active[p]
-    own = ids_q[p] != ids_x[q]
-    p, q = p[own], q[own]
-    for low in range(0, len(p), 1 << 18):
-        part = slice(low, low + (1 << 18))
-        best.add(p[part], exact(queries[p[part]], x[q[part]]), ids_x[q[part]])
-
-
-def _turn(x: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Leading rotated coordinates and the length of the rest."""
-    turned = x @ axes
-    return turned[:, :LEADING], np.sqrt(np.maximum((turned[:, LEADING:] ** 2).sum(1), 0))
+@dataclass
+class Turned:
+    """Vectors by descending length, rotated, with the lengths of what is left after each level of coordinates."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    turned: np.ndarray
+    norm: np.ndarray
+    rest: list[np.ndarray]
+
+    @classmethod
+    def of(cls, ids: np.ndarray, x: np.ndarray, axes: np.ndarray) -> "Turned":
+        turned = x @ axes
+        squares = turned**2
+        rest = [np.sqrt(squares[:, end:].sum(1)) for end in LEVELS if end < x.shape[1]]
+        return cls(ids, x, turned, np.sqrt((x**2).sum(1)), rest)
+
+    def part(self, at: slice) -> "Turned":
+        return Turned(self.ids[at], self.x[at], self.turned[at], self.norm[at], [r[at] for r in self.rest])
+
+
+def scan(best: _Best, q: Turned, c: Turned) -> None:
+    """One block of candidates by descending length against the queries."""
+    need = best.kth - 0.5 - 1e-9 * q.norm * c.norm[0]  # scores are whole numbers; the rest is for rounding
+    own, cols = np.flatnonzero(q.norm * c.norm[0] >= need), np.arange(len(c.ids))
+    total, start = np.zeros((len(own), len(cols))), 0
+    for level, end in enumerate([end for end in LEVELS if end < q.x.shape[1]] + [q.x.shape[1]]):
+        if not len(own) or not len(cols):
+            return
+        total += q.turned[own, start:end] @ c.turned[cols, start:end].T
+        bound = total + np.outer(q.rest[level][own], c.rest[level][cols]) if level < len(q.rest) else total
+        hit = bound >= need[own][:, None]
+        rows, columns = hit.any(1), hit.any(0)
+        own, cols, hit, total, start = own[rows], cols[columns], hit[rows][:, columns], total[rows][:, columns], end
+    p, k = np.nonzero(hit)
+    p, k = own[p], cols[k]
+    other = q.ids[p] != c.ids[k]
+    p, k = p[other], k[other]
+    for low in range(0, len(p), 1 << 16):
+        part = slice(low, low + (1 << 16))
+        best.add(p[part], exact(q.x[p[part]], c.x[k[part]]), c.ids[k[part]])
 
 
 def _searcher(dim: int, k: int, axes: np.ndarray, sent):
     def run(batches):
         ids_q, queries, kth = sent.value
-        (turned_q, rest_q), norm_q = _turn(queries, axes), np.sqrt((queries**2).sum(1))
-        best = _Best(len(ids_q), k)
+        q, best = Turned.of(ids_q, queries, axes), _Best(len(ids_q), k)
         best.kth[:] = kth
         for batch in batches:
-            x, ids, norm = _rows(batch.column("v"), dim), np.asarray(batch.column("id")), np.asarray(batch.column("norm"))
-            order = np.argsort(-norm, kind="stable")
-            x, ids, norm = x[order], ids[order], norm[order]
-            turned, rest = _turn(x, axes)
-            for low in range(0, len(x), BLOCK):
-                s = slice(low, low + BLOCK)
-                scan(best, queries, turned_q, rest_q, norm_q, ids_q, x[s], turned[s], rest[s], norm[s], ids[s])
+            order = np.argsort(-np.asarray(batch.column("norm")), kind="stable")
+            c = Turned.of(np.asarray(batch.column("id"))[order], _rows(batch.column("v"), dim)[order], axes)
+            for low in range(0, len(order), BLOCK):
+                scan(best, q, c.part(slice(low, low + BLOCK)))
         good = best.score >= kth[best.query]
         yield pa.RecordBatch.from_arrays([pa.array(ids_q[best.query[good]]), pa.array(best.id[good]), pa.array(best.score[good])], ["query_id", "vec_id", "score"])
 
@@ -153,13 +170,10 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
             if not part.num_rows:
                 continue
             ids_q, queries = np.asarray(part.column("id").combine_chunks()), _rows([v for c in part.column("v").chunks for v in c], dim)
-            (turned_q, rest_q), norm_q = _turn(queries, axes), np.sqrt((queries**2).sum(1))
             best = _Best(len(ids_q), k)
-            x, ids_x, norm_x = _rows([v for c in head.column("v").chunks for v in c], dim), np.asarray(head.column("id").combine_chunks()), np.asarray(head.column("norm").combine_chunks())
-            turned_x, rest_x = _turn(x, axes)
-            for low in range(0, len(x), 128):
-                s = slice(low, low + 128)
-                scan(best, queries, turned_q, rest_q, norm_q, ids_q, x[s], turned_x[s], rest_x[s], norm_x[s], ids_x[s])
+            q, c = Turned.of(ids_q, queries, axes), Turned.of(np.asarray(head.column("id").combine_chunks()), _rows([v for c in head.column("v").chunks for v in c], dim), axes)
+            for low in range(0, len(c.ids), 128):
+                scan(best, q, c.part(slice(low, low + 128)))
             sent = spark.sparkContext.broadcast((ids_q, queries, best.kth))  # QUERIES vectors at most
             one = ordered.mapInArrow(_searcher(dim, k, axes, sent), "query_id long, vec_id long, score long")
             found = one if found is None else found.union(one)
