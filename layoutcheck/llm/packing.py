@@ -12,36 +12,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layoutcheck.llm.shared import small_batches
-from layoutcheck.llm.words import mix
+from layoutcheck.llm.shared import Scratch, small_batches
+from layoutcheck.llm.words import chunks, mix
 
 LONGEST = 2048
 END_ID = 1
 RANGES = 4096
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 _ASCII_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class Words(dict):
-    """Ids of words as bytes. The tokenizer drops white space and never joins across it, so a text's ids are its words' ids."""
+class Words:
+    """Ids of words as bytes. The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
+
+    Words that are new are tokenized many at once. A word of letters is one word
+    for the tokenizer too, so its ids end with the only id that ends a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Makes sure that ``ids`` holds these words."""
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        new = [w for w in words if w not in self.ids]
+        cores = [w.rstrip(_ASCII_TAIL) for w in new]  # letters and the punctuation after them are tokenized apart
+        plain = list({c for c in cores if c not in self.ids and c.decode().isalpha()})
+        if plain:
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(plain):
+                self.ids.update(zip(plain, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+        for word, core in zip(new, cores):
+            if word in self.ids:
+                continue
+            if core in self.ids and core != word and core.decode().isalpha():
+                tail = word[len(core) :]
+                if tail not in self.ids:
+                    self.ids[tail] = self._one(tail)
+                self.ids[word] = self.ids[core] + self.ids[tail]
+            else:
+                self.ids[word] = self._one(word)
+
+
+_WORDS: dict[str, Words] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        core = word.rstrip(_ASCII_TAIL)
-        if core and core != word and core.decode().isalpha():  # letters and punctuation are tokenized apart
-            ids = self[core] + self[word[len(core) :]]
-        else:
-            ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
-        self[word] = ids
-        return ids
+
+def _words(path: str | None) -> Words:
+    """A worker's words of a tokenizer; the next task finds them again."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
 def lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -53,21 +89,15 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
 
 def _packer(path: str | None, end_id: int, longest: int, with_ids: bool):
     end = np.array([end_id], np.uint32).tobytes()
-    state: dict[str, Words] = {}
 
     def run(batches):
-        if not state:
-            if path is None:
-                import public_tokenizers
-
-                state[""] = Words(public_tokenizers.path("word_bpe_49k.json"))
-            else:
-                state[""] = Words(path)
-        ids_of = state[""].__getitem__
-        for batch in batches:
+        known = _words(path)
+        for batch in (part for whole in batches for part in chunks(whole, "text")):
             source, start, length, crc, total, blobs = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").cast(pa.binary())):
-                ids = b"".join([*map(ids_of, (text.as_py() or b"").split()), end])
+            texts = [(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            known.learn(set().union(*texts))
+            for i, own in enumerate(texts):
+                ids = b"".join([*map(known.ids.__getitem__, own), end])
                 n, at = len(ids) // 4, 0
                 for size in lengths(n, longest):
                     piece = ids[4 * at : 4 * (at + size)]
@@ -101,9 +131,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_I
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     pieces = rows.mapInArrow(_packer(tokenizer_path, end_id, longest, with_ids), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, range int" + ", ids binary" * with_ids)
+    pieces = Scratch(docs.sparkSession, "packing").keep(pieces, "pieces")  # read twice
     # a dozen lengths times RANGES rows at most, whatever the input
     before = Window.orderBy("length", "range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("length", "range").count().select("length", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
     own = Window.partitionBy("length", "range").orderBy("doc_id", "start", "ids_crc32")
     numbered = pieces.withColumn("__nth", F.row_number().over(own)).join(F.broadcast(offsets), ["length", "range"])
-    return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("__first") + F.col("__nth") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
+    return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("__first") + F.col("__nth") - 1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
