@@ -1,0 +1 @@
+"""Design-rule queries over hierarchical layout geometry, as Spark DataFrames."""

@@ -1 +1 @@
-"""Queries over the derived layout."""
+"""Rule decks and the catalogue of queries."""

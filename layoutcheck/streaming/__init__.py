@@ -1,0 +1 @@
+"""Layouts are checked as a whole: a rule's result depends on all shapes, so there are no streaming operators."""
