@@ -197,7 +197,7 @@ def _predictor(sent, columns: list[str]):
     def run(batches):
         memory = _memory(sent.value)
         labels = memory.net.labels
-        for batch in (part for whole in batches for part in chunks(whole, "__text")):
+        for batch in (part for whole in batches for part in chunks(whole, "__text", 2 << 20)):
             lettered = np.asarray(pc.match_substring_regex(batch.column("__text").fill_null(""), r"\p{L}"))
             texts = [(t or b"").split() if on else [] for t, on in zip(batch.column("__text").cast(pa.binary()).to_pylist(), lettered)]
             memory.learn(set().union(*texts))

@@ -33,7 +33,7 @@ MOST_MATCHES, VERIFY = 4, 16.0
 #: Bits of the map of documents whose sets are needed: 8 MB, whatever the input.
 NEEDED_BITS = 26
 #: Postings that a block gathers before it sends.
-BLOCK = 2_000_000
+BLOCK = 500_000
 BUCKET_BYTES = 16 << 20
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB], np.uint64)
@@ -82,12 +82,12 @@ def _counter(n: int):
             for row in range(SKETCH_ROWS):
                 count[row] += np.bincount(_cells(h, row), minlength=1 << SKETCH_BITS).astype(np.uint32)
 
-        def rows(kind, ids, sizes, classes, slices, blobs):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "doc_id", "n", "class", "slice", "blob"])
+        def rows(kind, ids, marks, sizes, classes, slices, blobs):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "doc_id", "mark", "n", "class", "slice", "blob"])
 
         for batch, sets in _sets(batches, n):
             k = len(sets)
-            yield rows(0, batch.column("doc_id").to_pylist(), [len(s) for s in sets], [_class_of(s) if len(s) else 0 for s in sets], [None] * k, [None] * k)
+            yield rows(0, batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), [len(s) for s in sets], [_class_of(s) if len(s) else 0 for s in sets], [None] * k, [None] * k)
             held += sets
             size += sum(map(len, sets))
             if size > BLOCK:
@@ -97,7 +97,7 @@ def _counter(n: int):
             add()
         parts = count.reshape(-1, 1 << SLICE_BITS)
         if count.any():
-            yield rows(1, [None] * len(parts), [None] * len(parts), [None] * len(parts), list(range(len(parts))), [_write(p) for p in parts])
+            yield rows(1, [None] * len(parts), [None] * len(parts), [None] * len(parts), [None] * len(parts), list(range(len(parts))), [_write(p) for p in parts])
 
     return run
 
@@ -248,26 +248,30 @@ class _Verify:
         self.sets = found if self.sets is None else self.sets.union(found)
         a = self.sets.select(F.col("class").alias("a"), F.col("elements").alias("set_a"))
         b = self.sets.select(F.col("class").alias("b"), F.col("elements").alias("set_b"))
-        return self.scratch.keep(pairs.join(a, "a").join(b, "b").mapInArrow(_verifier(self.threshold), "a long, b long"), f"links-{self.round}")
+        small_batches(spark, 16)  # two whole sets a row
+        links = self.scratch.keep(pairs.join(a, "a").join(b, "b").mapInArrow(_verifier(self.threshold), "a long, b long"), f"links-{self.round}")
+        small_batches(spark)
+        return links
 
 
 def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, class of every row.
+    """doc_id, n_shingles, component_id, mark, component of every row.
 
     Words are lower-cased in A-Z. A text with fewer than n words is one element,
     a null or empty text an empty set that links with nothing, so such a row is
     its own component. Rows with a null id take part in links but name no
     component unless all of it is null. Rows of one id with different texts
     count as documents of their own; repeated rows stay. Other columns are
-    ignored. An empty table gives no rows. ``class`` names the sets that are
-    equal. threshold: hundredths, above 50.
+    ignored. An empty table gives no rows. ``mark`` is xxhash64 of the text and
+    ``component`` names a component, null for empty sets; with doc_id they tell
+    rows of one id apart. threshold: hundredths, above 50.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    first = scratch.keep(docs.mapInArrow(_counter(n), "kind int, doc_id long, n long, class long, slice int, blob binary"), "first")
-    ids = first.where("kind = 0").select("doc_id", "n", "class")
+    first = scratch.keep(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_counter(n), "kind int, doc_id long, mark long, n long, class long, slice int, blob binary"), "first")
+    ids = first.where("kind = 0").select("doc_id", "mark", "n", "class")
     sketch = np.zeros((SKETCH_ROWS << SKETCH_BITS - SLICE_BITS, 1 << SLICE_BITS), np.float32)
     for i, blob in first.where("kind = 1").select("slice", "blob").repartition(partitions(spark), "slice").mapInArrow(_adder, "slice int, blob binary").toLocalIterator():
         sketch[i] = np.frombuffer(blob, np.float32)  # of a fixed size
@@ -280,31 +284,44 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD,
     ids_of_some = ids.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     verify = _Verify(docs, ids_of_some, scratch, n, threshold)
 
-    def fits(ask) -> F.Column:
-        """Sizes allow a link, and so do the elements not yet passed; the first ``ask`` shared elements pass this."""
+    level = F.greatest(F.lit(1), F.col("at") - (F.col("n") - F.floor((threshold * F.col("n") + 99) / 100)) + 1).cast("int")
+    lists = lists.withColumn("level", level)
+    prefixes = scratch.keep(lists.groupBy("class").agg(F.first("ask").alias("ask"), F.collect_list(F.struct("token", "level")).alias("prefix")), "prefixes")
+
+    def met(x: DataFrame, y: DataFrame, apart: F.Column) -> DataFrame:
+        """Pairs that share an element of both shortest prefixes, at places and with sizes that allow a link.
+
+        The first element that a linking pair shares passes this.
+        """
         na, nb = F.col("x.n"), F.col("y.n")
         overlap = F.floor((threshold * (na + nb) + 99 + threshold) / (100 + threshold))
-        rest = F.least(na - F.col("x.at"), nb - F.col("y.at"))
-        return (100 * F.least(na, nb) >= threshold * F.greatest(na, nb)) & (ask - 1 + rest >= overlap)
+        fits = (100 * F.least(na, nb) >= threshold * F.greatest(na, nb)) & (F.least(na - F.col("x.at"), nb - F.col("y.at")) >= overlap)
+        both = x.where("level = 1").alias("x").join(y.where("level = 1").alias("y"), F.col("x.token") == F.col("y.token")).where(apart & fits)
+        return both.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        """Pairs that share as many elements of their longer prefixes as the smaller l asks for."""
+        own = lambda side: prefixes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("class", "ask", "prefix")))
+        ask = F.least("ask_a", "ask_b")
+        within = lambda side: F.transform(F.filter(f"prefix_{side}", lambda e: e["level"] <= ask), lambda e: e["token"])
+        wide = pairs.join(own("a"), F.col("a") == F.col("class_a")).join(own("b"), F.col("b") == F.col("class_b"))
+        return wide.where(F.size(F.array_intersect(within("a"), within("b"))) >= ask).select("a", "b")
 
-    pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    leaders = lists.groupBy("token").agg(F.min(F.struct("at", "class", "n", "ask")).alias("l")).select("token", "l.*")
-    stars = lists.alias("x").join(leaders.alias("y"), F.col("x.token") == F.col("y.token")).where((F.col("x.class") != F.col("y.class")) & fits(F.lit(1)))
-    links = verify(stars.select(*pair).distinct())
+    leaders = lists.where("level = 1").groupBy("token").agg(F.min(F.struct("at", "class", "n", "level")).alias("l")).select("token", "l.*")
+    links = verify(matched(met(lists, leaders, F.col("x.class") != F.col("y.class"))))
 
     joined = components(links, scratch, "stars")
     lists = lists.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     lists = scratch.keep(lists, "lists-2")
     open_tokens = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    lists = lists.join(open_tokens, "token", "left_semi").withColumn("level", F.greatest(F.lit(1), F.col("at") - (F.col("n") - F.floor((threshold * F.col("n") + 99) / 100)) + 1))
-    ask = F.least("x.ask", "y.ask")
-    rest = lists.alias("x").join(lists.alias("y"), F.col("x.token") == F.col("y.token"))
-    rest = rest.where((F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (F.greatest("x.level", "y.level") <= ask) & fits(ask))
-    rest = rest.select(*pair, ask.alias("ask")).groupBy("a", "b", "ask").count().where("count >= ask").select("a", "b")
-    more = verify(rest.distinct().join(verify.scratch.spark.read.parquet(f"{scratch.root}/pairs-1"), ["a", "b"], "left_anti"))
+    lists = lists.join(open_tokens, "token", "left_semi")
+    rest = met(lists, lists, (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")))
+    tested = spark.read.parquet(f"{scratch.root}/pairs-1")
+    more = verify(matched(rest.join(tested, ["a", "b"], "left_anti")))
 
     labels = components(links.union(more), scratch, "all").select(F.col("node").alias("class"), "component")
     classes = ids.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     roots = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(roots, "component").select("class", "component_id")
-    return ids.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    named = classes.join(roots, "component").select("class", "component", "component_id")
+    done = ids.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(named, "class", "left")
+    return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark", "component")

@@ -92,7 +92,7 @@ def _packer(path: str | None, end_id: int, longest: int, with_ids: bool):
 
     def run(batches):
         known = _words(path)
-        for batch in (part for whole in batches for part in chunks(whole, "text")):
+        for batch in (part for whole in batches for part in chunks(whole, "text", 2 << 20)):
             source, start, length, crc, total, blobs = [], [], [], [], [], []
             texts = [(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             known.learn(set().union(*texts))

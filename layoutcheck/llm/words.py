@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are hashed in pieces of about so many bytes, cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -93,7 +93,7 @@ def hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[
         low = starts[i]
         out[i:j] = _hash_spans(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
         i = j
-        if len(_tables.get(_BYTE_BASE, ((),))[0]) > 8 * PIECE:
+        if len(_tables.get(_BYTE_BASE, ((),))[0]) > 32 * PIECE:
             _tables.clear()
     return out, first
 
@@ -121,7 +121,7 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, second: bool = False) -> t
     return runs[at], text[at], at - first[text[at]]
 
 
-def chunks(batch: pa.RecordBatch, text: str, most: int = 4 * PIECE):
+def chunks(batch: pa.RecordBatch, text: str, most: int = 2 * PIECE):
     """The batch in runs of rows with at most so many bytes of text, one row at least."""
     lengths = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
     low, size = 0, 0
