@@ -77,6 +77,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KN
 
 def _plan(most: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size")  # the same plan whatever the shuffle's order
         lengths, counts, target = pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0])
         total = int((lengths * counts).sum())
         times = min(int(target // total), most) if total else 0
