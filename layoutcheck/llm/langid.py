@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layoutcheck.llm.shared import small_batches
+from layoutcheck.llm.shared import remembered, small_batches
 from layoutcheck.llm.words import chunks
 
 #: Labelled documents of a language to learn from (about), and runs drawn from the whole of each.
@@ -24,7 +24,7 @@ HIDDEN, EPOCHS, BATCH, RATE = 12, 5, 256, 0.01
 #: Longer runs are read in parts of so many bytes.
 LONGEST = 32
 #: Runs whose result a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 UNKNOWN = "und"
 
 
@@ -181,26 +181,20 @@ class _Memory:
         self.sums, self.sizes = np.concatenate((self.sums, sums)), np.concatenate((self.sizes, [len(r) for r in new]))
 
 
-_MEMORIES: dict[bytes, _Memory] = {}
-
-
 def _memory(net: Network) -> _Memory:
     """A worker's memory of this network; the next task finds it again."""
-    key = b"".join(p.tobytes() for p in net.parameters())
-    if key not in _MEMORIES:
-        _MEMORIES.clear()
-        _MEMORIES[key] = _Memory(net)
-    return _MEMORIES[key]
+    return remembered("langid", b"".join(p.tobytes() for p in net.parameters()), lambda: _Memory(net))
 
 
-def _predictor(sent, columns: list[str]):
+def _predictor(sent, columns: list[str], text: str = "__text"):
     def run(batches):
         memory = _memory(sent.value)
         labels = memory.net.labels
-        for batch in (part for whole in batches for part in chunks(whole, "__text", 2 << 20)):
-            lettered = np.asarray(pc.match_substring_regex(batch.column("__text").fill_null(""), r"\p{L}"))
-            texts = [(t or b"").split() if on else [] for t, on in zip(batch.column("__text").cast(pa.binary()).to_pylist(), lettered)]
-            memory.learn(set().union(*texts))
+        for batch in (part for whole in batches for part in chunks(whole, text, 2 << 20)):
+            lettered = np.asarray(pc.match_substring_regex(batch.column(text).fill_null(""), r"\p{L}"))
+            texts = [(t or b"").split() if on else [] for t, on in zip(batch.column(text).cast(pa.binary()).to_pylist(), lettered)]
+            if labels:
+                memory.learn(set().union(*texts))
             names, scores = [], []
             for own, on in zip(texts, lettered):
                 if not on or not labels:
@@ -256,5 +250,5 @@ def identify(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id"
     small_batches(spark)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*(F.col(f"`{c}`") for c in columns)).schema.add("lang_pred", "string").add("score", "double")
-    rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text_col}`").alias("__text"))
-    return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(net), columns), schema)
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*columns, text_col])))
+    return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(net), columns, text_col), schema)

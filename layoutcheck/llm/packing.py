@@ -12,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layoutcheck.llm.shared import Scratch, small_batches
+from layoutcheck.llm.shared import Scratch, remembered, small_batches
 from layoutcheck.llm.words import chunks, mix
 
 LONGEST = 2048
 END_ID = 1
 RANGES = 4096
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_200_000
+#: Words, with and without punctuation, in a half of a worker's memory of ids.
+REMEMBERED = 400_000
 
+#: Lower-case letters that are one code point in every normal form.
+_SIMPLE = "".join(chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)))
 _ASCII_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -29,44 +31,60 @@ class Words:
 
     Words that are new are tokenized many at once. A word of letters is one word
     for the tokenizer too, so its ids end with the only id that ends a word.
+    Words in use stay remembered; others go with the older half of the memory.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.older = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # for words that its normalizer leaves alone and its pattern leaves whole
+        self.simple = Tokenizer.from_file(path)
+        self.simple.normalizer = normalizers.Sequence([])
+        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes sure that ``ids`` holds these words."""
+    def _many(self, words: list[bytes]) -> None:
+        if words:
+            found = np.array(self.simple.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = (4 * np.flatnonzero(self.ends[found]) + 4).tolist()
+            if len(ends) == len(words):
+                raw = found.tobytes()
+                self.ids.update(zip(words, [raw[low:high] for low, high in zip([0, *ends], ends)]))
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids by word, for these words at least.
+
+        Punctuation at the end is always tokenized apart from a letter or digit before it.
+        """
         if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        new = [w for w in words if w not in self.ids]
-        cores = [w.rstrip(_ASCII_TAIL) for w in new]  # letters and the punctuation after them are tokenized apart
-        plain = list({c for c in cores if c not in self.ids and c.decode().isalpha()})
-        if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain):
-                self.ids.update(zip(plain, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+            self.ids, self.older = {}, self.ids
+        ids, older = self.ids, self.older
+        new = [w for w in words if w not in ids]
+        if older:
+            again = {w: older[w] for w in new if w in older}
+            ids.update(again)
+            new = [w for w in new if w not in again]
+        cores = [c if ((c := w.rstrip(_ASCII_TAIL))[-1:].isalnum() or c.decode()[-1:].isalnum()) and b"<|" not in c else w for w in new]
+        fresh = {c for c in cores if c not in ids}
+        if older:
+            ids.update([(c, older[c]) for c in fresh if c in older])
+        self._many([c for c in fresh if c not in ids and not c.decode().strip(_SIMPLE)])
+        for core in fresh:
+            if core not in ids:
+                ids[core] = self._one(core)
         for word, core in zip(new, cores):
-            if word in self.ids:
-                continue
-            if core in self.ids and core != word and core.decode().isalpha():
+            if word not in ids:
                 tail = word[len(core) :]
-                if tail not in self.ids:
-                    self.ids[tail] = self._one(tail)
-                self.ids[word] = self.ids[core] + self.ids[tail]
-            else:
-                self.ids[word] = self._one(word)
-
-
-_WORDS: dict[str, Words] = {}
+                if tail not in ids:
+                    ids[tail] = self._one(tail)
+                ids[word] = ids[core] + ids[tail]
+        return ids
 
 
 def _words(path: str | None) -> Words:
@@ -75,9 +93,12 @@ def _words(path: str | None) -> Words:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _WORDS:
-        _WORDS[path] = Words(path)
-    return _WORDS[path]
+    return remembered("packing", path, lambda: Words(path))
+
+
+def _folded(text: bytes) -> bytes:
+    """A-Z in lower case, which the tokenizer does too, but for what might spell one of its special tokens."""
+    return text if b"|>" in text else text.lower()
 
 
 def lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -92,12 +113,12 @@ def _packer(path: str | None, end_id: int, longest: int, with_ids: bool):
 
     def run(batches):
         known = _words(path)
-        for batch in (part for whole in batches for part in chunks(whole, "text", 2 << 20)):
+        for batch in (part for whole in batches for part in chunks(whole, "text", 4 << 20)):
             source, start, length, crc, total, blobs = [], [], [], [], [], []
-            texts = [(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            known.learn(set().union(*texts))
+            texts = [_folded(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            ids_of = known.learn(set().union(*texts)).__getitem__
             for i, own in enumerate(texts):
-                ids = b"".join([*map(known.ids.__getitem__, own), end])
+                ids = b"".join([*map(ids_of, own), end])
                 n, at = len(ids) // 4, 0
                 for size in lengths(n, longest):
                     piece = ids[4 * at : 4 * (at + size)]
@@ -127,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_I
     packed each for itself; other columns are ignored; an empty table gives no
     rows. Texts are cut after tokenizing as a whole, so long ones lose nothing.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     pieces = rows.mapInArrow(_packer(tokenizer_path, end_id, longest, with_ids), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, range int" + ", ids binary" * with_ids)

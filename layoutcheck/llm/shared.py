@@ -3,7 +3,6 @@
 import atexit
 import uuid
 from pathlib import Path
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,18 +48,15 @@ class Scratch:
             _delete(self.spark, f"{self.root}/{name}")
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str):
-    """Session settings while a step runs; keys with __ for dots."""
-    names = {k.replace("__", "."): str(v) for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+_REMEMBERED: dict = {}
+
+
+def remembered(kind: str, key, make):
+    """What a Python worker keeps from task to task: one thing at a time, so that operators do not add up."""
+    if _REMEMBERED.get(kind, (None,))[0] != key:
+        _REMEMBERED.clear()
+        _REMEMBERED[kind] = key, make()
+    return _REMEMBERED[kind][1]
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
