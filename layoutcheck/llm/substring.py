@@ -12,6 +12,9 @@ The sketch grows with the text up to ``sketch_bytes``. Beyond that it lets more
 windows pass, which costs shuffle and changes no result.
 """
 
+import zlib
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -189,15 +192,26 @@ def _places(table: pa.Table) -> pa.Table:
     return pa.table({_DOC: pa.array(doc[cuts[:-1]], pa.int64()), _TAG: pa.array(tag[cuts[:-1]].astype(np.int64), pa.int64()), _AT: pa.array([at[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
-def _cutter(k: int, text: str, kept: list[str]):
-    from itertools import compress
+def _packer(text: str, columns: list[str]):
+    """Texts travel to their removals compressed."""
+
+    def run(batches):
+        for batch in batches:
+            packed = [None if t is None else zlib.compress(t, 1) for t in batch.column(text).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(packed, pa.binary())], [*columns, _TEXT])
 
+    return run
+
+
+def _cutter(k: int, text: str, kept: list[str]):
     def run(batches):
         for whole in batches:
-            for batch in words.chunks(whole, text):
+            for low in range(0, whole.num_rows, 64):
+                batch = whole.slice(low, 64)
+                texts = [None if t is None else zlib.decompress(t) for t in batch.column(_TEXT).to_pylist()]
                 out, total, removed = [], [], []
-                for t, at in zip(batch.column(text).cast(pa.binary()), batch.column(_AT)):
-                    own = (t.as_py() or b"").split()
+                for t, at in zip(texts, batch.column(_AT)):
+                    own = (t or b"").split()
                     n = len(own)
                     if at.is_valid:
                         starts = np.frombuffer(at.as_buffer(), np.uint32).astype(np.int64)
@@ -208,7 +222,8 @@ def _cutter(k: int, text: str, kept: list[str]):
                     out.append(b" ".join(own))
                     total.append(n)
                     removed.append(n - len(own))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*kept, "kept_text", "n_words", "n_removed"])
+                same = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(same if c == text else batch.column(c) for c in kept), pa.array(out, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*kept, "kept_text", "n_words", "n_removed"])
 
     return run
 
@@ -245,5 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = rows.mapInArrow(_sender(k, bits, shared, buckets), _SENT)
     found = keyed.groupBy("bucket").applyInArrow(_grouper(buckets), _SENT)
     places = found.groupBy("bucket").applyInArrow(_places, f"{_DOC} long, {_TAG} long, {_AT} binary")
-    whole = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{id_col}`").cast("long").alias(_DOC), F.crc32(text.cast("binary")).alias(_TAG))
-    return whole.join(places, [_DOC, _TAG], "left").drop(_DOC, _TAG).mapInArrow(_cutter(k, text_col, kept), schema)
+    whole = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, text_col])), F.col(f"`{id_col}`").cast("long").alias(_DOC), F.crc32(text.cast("binary")).alias(_TAG))
+    others = [c for c in whole.columns if c != text_col]
+    packed = whole.mapInArrow(_packer(text_col, others), T.StructType([*(whole.schema[c] for c in others), T.StructField(_TEXT, T.BinaryType())]))
+    return packed.join(places, [_DOC, _TAG], "left").drop(_DOC, _TAG).mapInArrow(_cutter(k, text_col, kept), schema)
