@@ -219,6 +219,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         small_batches(spark, 4)
         met = table.repartition(int(max(partitions(spark), min(len(pairs), 20_000))), "i", "j").join(a, "i").join(b, "j").withColumn("same", F.expr("i = j"))
         counts.append(scratch.keep(met.mapInArrow(_comparer(dim, cosine, width), "id long, n long, root long"), f"found-{dim}"))
+        scratch.drop(f"turned-{dim}", f"intervals-{dim}")
     small_batches(spark)
     everything = rows.select("id")
     if not counts:
