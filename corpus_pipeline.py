@@ -31,13 +31,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
     rows = jaccard_components(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
-    kept = rows.where("n_shingles > 0").groupBy("component").agg(first).select("first.doc_id", "first.mark")
-    alone = rows.where("n_shingles = 0").select("doc_id", "mark", F.lit(True).alias("all"))
-    kept = kept.withColumn("all", F.lit(False)).union(alone).distinct().select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("all").alias("__all"))
-    marked = docs.withColumn("__own", F.xxhash64("text"))
-    met = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__own"] == kept["__mark"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("source", "lang"))
-    return met.withColumn("__nth", nth).where(F.col("__all") | (F.col("__nth") == 1)).select(COLUMNS)
+    kept = rows.where("n_shingles > 0").groupBy("component").agg(first).select(F.col("first.mark").alias("__mark"), F.lit(False).alias("__all"))
+    alone = rows.where("n_shingles = 0").select(F.col("mark").alias("__mark"), F.lit(True).alias("__all")).distinct()
+    # texts move once: the join and the numbering of repeated rows are dealt by the same mark
+    marked = docs.withColumn("__mark", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    nth = F.row_number().over(Window.partitionBy("__mark").orderBy("source", "lang"))
+    met = marked.join(kept.union(alone), "__mark").withColumn("__nth", nth)
+    return met.where(F.col("__all") | (F.col("__nth") == 1)).select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
