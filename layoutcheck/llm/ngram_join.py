@@ -116,8 +116,9 @@ def matches(estimates: np.ndarray, base: int, documents: int) -> int:
     """How many prefix elements to ask for: the least estimated cost.
 
     estimates: ascending frequencies of the first base + MOST_MATCHES - 1
-    elements. The documents outside a group of near copies that share l or more
-    of them are taken as Poisson-distributed.
+    elements, each with one more than the sketch shows, which may hide in its
+    noise. The documents outside a group of near copies that share l or more of
+    them are taken as Poisson-distributed.
     """
     best, least = 1, np.inf
     for m in range(1, len(estimates) - base + 2):
@@ -262,15 +263,15 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD,
     its own component. Rows with a null id take part in links but name no
     component unless all of it is null. Rows of one id with different texts
     count as documents of their own; repeated rows stay. Other columns are
-    ignored. An empty table gives no rows. ``mark`` is xxhash64 of the text and
-    ``component`` names a component, null for empty sets; with doc_id they tell
-    rows of one id apart. threshold: hundredths, above 50.
+    ignored. An empty table gives no rows. ``mark`` is xxhash64 of id and text,
+    ``component`` names a component, null for empty sets. threshold: hundredths,
+    above 50.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    first = scratch.keep(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_counter(n), "kind int, doc_id long, mark long, n long, class long, slice int, blob binary"), "first")
+    first = scratch.keep(docs.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(_counter(n), "kind int, doc_id long, mark long, n long, class long, slice int, blob binary"), "first")
     ids = first.where("kind = 0").select("doc_id", "mark", "n", "class")
     sketch = np.zeros((SKETCH_ROWS << SKETCH_BITS - SLICE_BITS, 1 << SLICE_BITS), np.float32)
     for i, blob in first.where("kind = 1").select("slice", "blob").repartition(partitions(spark), "slice").mapInArrow(_adder, "slice int, blob binary").toLocalIterator():
@@ -320,8 +321,11 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD,
     more = verify(matched(rest.join(tested, ["a", "b"], "left_anti")))
 
     labels = components(links.union(more), scratch, "all").select(F.col("node").alias("class"), "component")
+    scratch.drop("lists", "lists-2", "prefixes", *(f"{kind}-{i}" for kind in ("pairs", "sets", "links") for i in (1, 2)))
     classes = ids.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     roots = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(roots, "component").select("class", "component", "component_id")
     done = ids.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(named, "class", "left")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark", "component")
+    done = scratch.keep(done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark", "component"), "result")
+    scratch.drop("first", *(f"{name}-{i}" for name in ("stars", "all") for i in range(60)))
+    return done
