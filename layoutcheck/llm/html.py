@@ -8,6 +8,7 @@ their count, for a host with few pages shows no template.
 """
 
 import re
+import zlib
 from hashlib import blake2b
 from html import unescape
 
@@ -33,6 +34,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _NEVER = frozenset("head script style noscript template svg math iframe object canvas audio video form button select textarea nav footer aside dialog menu title xmp noembed noframes".split())
+#: Elements that do not end a block of text.
+_FLOWING = _INLINE | frozenset("script style noscript template svg math iframe object canvas audio video button select textarea".split())
 _MAIN = frozenset(("article", "main"))
 #: Words of a class, id or role that mark no main text, anywhere and outside the article.
 _MARKS = frozenset(
@@ -76,8 +79,8 @@ def walk(page: str, drop: frozenset = frozenset(), hashes: list | None = None) -
                 hashes.append(key)
             if key in drop:
                 del out[e.at :]
-        if not e.skip and e.tag not in _INLINE:
-            (main_out if e.main else out).append(" ")
+        if not up.skip and e.tag not in _FLOWING:
+            (main_out if up.main or e.main else out).append(" ")
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
@@ -126,7 +129,7 @@ def walk(page: str, drop: frozenset = frozenset(), hashes: list | None = None) -
         skip = top.skip or tag in _NEVER or bool(attributes and _HIDDEN.search(attributes)) or bool(words and not _MARKS.isdisjoint(words) and tag not in ("html", "body", "main"))
         if not skip and not top.main:
             skip = tag == "header" or bool(words and not _MARKS_OUTSIDE.isdisjoint(words) and tag not in ("html", "body", "main"))
-        if not skip and tag not in _INLINE:
+        if not top.skip and tag not in _FLOWING:
             (main_out if top.main else out).append(" ")
         stack.append(_Open(tag, len(out), skip, not skip and (top.main or tag in _MAIN)))
         if tag in _RAW:
@@ -159,11 +162,22 @@ def _hasher(batches):
         yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "host", "keys"])
 
 
+def _packer(columns: list[str]):
+    """Pages travel to their deletions compressed."""
+
+    def run(batches):
+        for batch in batches:
+            packed = [zlib.compress((page.as_py() or b""), 1) for page in batch.column("html").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(packed, pa.binary())], [*columns, "packed"])
+
+    return run
+
+
 def _extractor(columns: list[str]):
     def run(batches):
         for batch in batches:
             drops = batch.column("drop").to_pylist()
-            texts = [walk(page or "", frozenset(drop or ())) for page, drop in zip(batch.column("html").to_pylist(), drops)]
+            texts = [walk(zlib.decompress(page.as_buffer()).decode(), frozenset(drop or ())) for page, drop in zip(batch.column("packed"), drops)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, "text"])
 
     return run
@@ -189,7 +203,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     own = once.select("uid", "host", F.explode("keys").alias("key"))
     often = own.groupBy("host", "key").agg(F.count("*").alias("n")).join(hosts, "host").where((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))).select("host", "key")
     drops = own.join(often, ["host", "key"], "left_semi").groupBy("uid").agg(F.collect_list("key").alias("drop"))
-    text = rows.join(drops, "uid", "left").select("page_id", "url", "html", "drop")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    packed = rows.mapInArrow(_packer(["page_id", "url", "uid"]), f"page_id {kinds['page_id']}, url {kinds['url']}, uid long, packed binary")
+    text = packed.join(drops, "uid", "left").select("page_id", "url", "packed", "drop")
     done = text.mapInArrow(_extractor(["page_id", "url"]), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return done.withColumn("n_chars", F.length("text").cast("long"))
