@@ -18,6 +18,8 @@ from layoutcheck.llm.substring import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language gets less than this has none.
 LEAST_SCORE = 0.3
+#: Near copies share this many hundredths of their 5-word shingles.
+SHINGLE, SIMILAR = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; documents without words are no copies."""
     docs = docs.select(COLUMNS)
-    rows = jaccard_components(docs)
+    rows = jaccard_components(docs, n=SHINGLE, threshold=SIMILAR)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
     kept = rows.where("n_shingles > 0").groupBy("component").agg(first).select(F.col("first.mark").alias("__mark"), F.lit(False).alias("__all"))
     alone = rows.where("n_shingles = 0").select(F.col("mark").alias("__mark"), F.lit(True).alias("__all")).distinct()

@@ -93,3 +93,23 @@ def test_repeated_rows_of_one_id(spark, documents):
     docs = documents([(1, a), (1, a), (1, b), (2, b), (None, b), (3, "%"), (3, "%")])
     got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
     assert got == [(1, a), (1, b), (3, "%")]
+
+
+def test_near_copies_are_of_five_words_and_four_fifths(spark, documents):
+    r = random.Random(4)
+    texts = [[f"w{r.randrange(10**6)}" for _ in range(200)] for _ in range(8)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):  # 5-word similarity 176/216 with four words changed, 171/221 with five
+        own = list(t)
+        for k in range(4 + i % 2):
+            own[20 + 35 * k] = f"new{i}x{k}"
+        rows.append((100 + i, " ".join(own)))
+    rows += [(200 + i, " ".join(t + [f"more{i}x{k}" for k in range(n)])) for i, (t, n) in enumerate(zip(texts, (30, 49, 50, 60)))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    least = {i: i for i in sets}
+    while any(least[a] != least[b] for a in sets for b in sets if linked(a, b)):
+        least = {a: min(least[b] for b in sets if linked(a, b)) for a in sets}
+    got = sorted(x["doc_id"] for x in corpus_pipeline.near_copies(spark, documents(rows), "").collect())
+    assert got == sorted(i for i, first in least.items() if first == i)
+    assert {100, 102, 200, 201}.isdisjoint(got) and {101, 103, 203} <= set(got)
