@@ -1,8 +1,8 @@
 """Main text of web pages by removal of site templates.
 
 Every element outside the article is a subtree with a hash of its tags and text.
-Spark counts on how many pages of a host each subtree occurs; those that recur
-on many of them are the site's template and are deleted. Of what is left, parts
+Spark counts on how many pages of a host with different texts each subtree
+occurs; those that recur on many are the site's template and are deleted. Of what is left, parts
 that say by tag, class, id or role that they are no main text go too, whatever
 their count, for a host with few pages shows no template.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from layoutcheck.llm.shared import Scratch, small_batches
 
-#: A template's subtree occurs on so many pages of its host at least, and on this share of them.
-MIN_PAGES, MIN_SHARE = 3, 0.005
+#: A template's subtree occurs on so many pages of its host at least, whatever the host's size; pages of equal text count once.
+MIN_PAGES = 10
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -37,6 +37,7 @@ _NEVER = frozenset("head script style noscript template svg math iframe object c
 #: Elements that do not end a block of text.
 _FLOWING = _INLINE | frozenset("script style noscript template svg math iframe object canvas audio video button select textarea".split())
 _MAIN = frozenset(("article", "main"))
+_WHOLE = frozenset(("html", "body", "head"))
 #: Words of a class, id or role that mark no main text, anywhere and outside the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond reply share sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager search complementary contentinfo footer".split()
@@ -73,7 +74,7 @@ def walk(page: str, drop: frozenset = frozenset(), hashes: list | None = None) -
         digest = blake2b(("\0".join((e.tag, *e.held))).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         up.held.append(digest.hex())
         up.guards |= e.guards or e.main
-        if not e.main and not e.guards and e.tag not in ("html", "body", "head"):
+        if not e.main and not e.guards and e.tag not in _WHOLE and e.tag not in _INLINE:
             key = int.from_bytes(digest, "little", signed=True)
             if hashes is not None and any(len(h.strip()) for h in e.held):
                 hashes.append(key)
@@ -149,17 +150,20 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#\\]", rest, maxsplit=1)[0].rpartition("@")[2].partition(":")[0].lower()
 
 
+def _hash(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _hasher(batches):
     for batch in batches:
-        uids, hosts, keys = [], [], []
+        uids, hosts, marks, keys = [], [], [], []
         for uid, url, page in zip(batch.column("uid").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             own: list[int] = []
-            walk(page or "", hashes=own)
-            host = int.from_bytes(blake2b(host_of(url).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            marks.append(_hash(walk(page or "", hashes=own)))
             uids.append(uid)
-            hosts.append(host)
+            hosts.append(_hash(host_of(url)))
             keys.append(sorted(set(own)))
-        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "host", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "host", "mark", "keys"])
 
 
 def _packer(columns: list[str]):
@@ -183,13 +187,13 @@ def _extractor(columns: list[str]):
     return run
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     A null or empty page has the empty text; a null URL is a host of its own
     (the empty one). A subtree that holds the article is never deleted, nor is
-    any inside it. Repeated rows count as one page of the host and each get
-    their text; rows of one id with different pages are pages of their own.
+    any inside it, nor an inline element by itself. Pages of one host with equal
+    texts (before deletion) count as one; repeated rows each get their text; rows of one id with different pages are pages of their own.
     Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
@@ -197,11 +201,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     scratch = Scratch(spark, "html")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     rows = rows.withColumn("uid", F.xxhash64("page_id", "url", "html"))
-    seen = scratch.keep(rows.select("uid", "url", "html").mapInArrow(_hasher, "uid long, host long, keys array<long>"), "subtrees")
+    seen = scratch.keep(rows.select("uid", "url", "html").mapInArrow(_hasher, "uid long, host long, mark long, keys array<long>"), "subtrees")
     once = seen.dropDuplicates(["uid"])
-    hosts = once.groupBy("host").agg(F.count("*").alias("pages"))
-    own = once.select("uid", "host", F.explode("keys").alias("key"))
-    often = own.groupBy("host", "key").agg(F.count("*").alias("n")).join(hosts, "host").where((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))).select("host", "key")
+    own = once.select("uid", "host", "mark", F.explode("keys").alias("key"))
+    often = own.select("host", "key", "mark").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "key")
     drops = own.join(often, ["host", "key"], "left_semi").groupBy("uid").agg(F.collect_list("key").alias("drop"))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     packed = rows.mapInArrow(_packer(["page_id", "url", "uid"]), f"page_id {kinds['page_id']}, url {kinds['url']}, uid long, packed binary")

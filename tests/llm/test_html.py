@@ -65,3 +65,15 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got.collect()) == [(0, "x", 1), (1, "", 0), (2, "", 0), (3, "y", 1), (3, "y", 1), (3, "é", 1)]
     assert extract_main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_copies_without_an_article_keep_their_text_and_templates_stay_gone_on_a_large_host(spark):
+    copies = [(i, f"https://a.org/{i}", "<body><div><p>One text</p><p>at many <b>URLs</b></p></div></body>") for i in range(30)]
+    notice = lambda i: "<div>A notice on few pages</div>" if i < 1012 else ""
+    large = [(i, f"https://b.org/{i}", f"<body>{notice(i)}<div><p>Own <b>text</b> {i}</p></div></body>") for i in range(1000, 4000)]
+    got = _texts(spark, copies + large)
+    assert got == {i: "One text at many URLs" for i in range(30)} | {i: f"Own text {i}" for i in range(1000, 4000)}
