@@ -1,6 +1,6 @@
 """Main text of web pages by removal of site templates.
 
-Every element outside the article is a subtree with a hash of its tags and text.
+Every block element, in the article or not, is a subtree with a hash of its tags and text.
 Spark counts on how many pages of a host with different texts each subtree
 occurs; those that recur on many are the site's template and are deleted. Of what is left, parts
 that say by tag, class, id or role that they are no main text go too, whatever
@@ -38,6 +38,8 @@ _NEVER = frozenset("head script style noscript template svg math iframe object c
 _FLOWING = _INLINE | frozenset("script style noscript template svg math iframe object canvas audio video button select textarea".split())
 _MAIN = frozenset(("article", "main"))
 _WHOLE = frozenset(("html", "body", "head"))
+#: Elements that recur in articles by chance, as parts of a text, list or table.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th".split())
 #: Words of a class, id or role that mark no main text, anywhere and outside the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond reply share sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager search complementary contentinfo footer".split()
@@ -73,13 +75,14 @@ def walk(page: str, drop: frozenset = frozenset(), hashes: list | None = None) -
         e, up = stack.pop(), stack[-1]
         digest = blake2b(("\0".join((e.tag, *e.held))).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         up.held.append(digest.hex())
-        up.guards |= e.guards or e.main
-        if not e.main and not e.guards and e.tag not in _WHOLE and e.tag not in _INLINE:
+        container = e.main and e.tag in _MAIN
+        up.guards |= e.guards or container
+        if not container and not e.guards and e.tag not in _WHOLE and e.tag not in _INLINE and not (e.main and e.tag in _PARTS):
             key = int.from_bytes(digest, "little", signed=True)
             if hashes is not None and any(len(h.strip()) for h in e.held):
                 hashes.append(key)
             if key in drop:
-                del out[e.at :]
+                del (main_out if e.main else out)[e.at :]
         if not up.skip and e.tag not in _FLOWING:
             (main_out if up.main or e.main else out).append(" ")
 
@@ -132,7 +135,8 @@ def walk(page: str, drop: frozenset = frozenset(), hashes: list | None = None) -
             skip = tag == "header" or bool(words and not _MARKS_OUTSIDE.isdisjoint(words) and tag not in ("html", "body", "main"))
         if not top.skip and tag not in _FLOWING:
             (main_out if top.main else out).append(" ")
-        stack.append(_Open(tag, len(out), skip, not skip and (top.main or tag in _MAIN)))
+        main = not skip and (top.main or tag in _MAIN)
+        stack.append(_Open(tag, len(main_out if main else out), skip, main))
         if tag in _RAW:
             m = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
             stop = m.start() if m else n
@@ -191,8 +195,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """page_id, url, text, n_chars of every row.
 
     A null or empty page has the empty text; a null URL is a host of its own
-    (the empty one). A subtree that holds the article is never deleted, nor is
-    any inside it, nor an inline element by itself. Pages of one host with equal
+    (the empty one). The article and what holds it are never deleted, nor is an
+    inline element by itself, nor a heading, list item, table row or cell of the
+    article; its other subtrees are, like those outside. Pages of one host with equal
     texts (before deletion) count as one; repeated rows each get their text; rows of one id with different pages are pages of their own.
     Other columns are ignored; an empty table gives no rows.
     """

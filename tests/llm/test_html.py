@@ -77,3 +77,11 @@ def test_copies_without_an_article_keep_their_text_and_templates_stay_gone_on_a_
     large = [(i, f"https://b.org/{i}", f"<body>{notice(i)}<div><p>Own <b>text</b> {i}</p></div></body>") for i in range(1000, 4000)]
     got = _texts(spark, copies + large)
     assert got == {i: "One text at many URLs" for i in range(30)} | {i: f"Own text {i}" for i in range(1000, 4000)}
+
+
+def test_a_box_inside_articles_that_otherwise_differ_goes(spark):
+    box = "<div class='x9'><p>Get our letter</p><p>each week</p></div>"
+    page = lambda own: f"<div>menu</div><main><article><h2>Summary</h2><p>Own {own}</p>{box}<ul><li>yes</li><li>{own}</li></ul></article></main>"
+    rows = [(i, f"https://a.org/{i}", page(i)) for i in range(12)] + [(100 + i, f"https://b.org/{i}", page(i % 3)) for i in range(30)]
+    got = _texts(spark, rows)
+    assert got == {i: f"Summary Own {i} yes {i}" for i in range(12)} | {100 + i: f"Summary Own {i % 3} Get our letter each week yes {i % 3}" for i in range(30)}
