@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layoutcheck.functions import geometry as g
+from layoutcheck.operators import partition
 
 TILE = 256
 
@@ -78,3 +79,19 @@ def stabbing(intervals: DataFrame, points: DataFrame, tile: int = TILE) -> DataF
     """Closed intervals (l, r) that contain a point (p)."""
     at = points.withColumns({"l": F.col("p"), "r": F.col("p")})
     return interval_overlap(intervals, at, tile).drop("b_l", "b_r")
+
+
+def overlap_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All columns of a and n: how many closed intervals (l, r) of b share a point with each, without listing the pairs.
+
+    Those that start by its end, less those that end before it starts; none for l above r.
+    """
+    valid = b.where("l <= r")
+
+    def up_to(points: Column, asked: Column, name: str) -> DataFrame:
+        steps = valid.select(points.alias(name), F.lit(1).cast("long").alias("d")).union(a.where("l <= r").select(asked, F.lit(0).cast("long")))
+        return partition.prefix_sum(steps.groupBy(name).agg(F.sum("d").alias("d")), name, "d", name, f"{name}_n").select(name, f"{name}_n")
+
+    met = a.join(up_to(F.col("l"), F.col("r"), "__begun").withColumnRenamed("__begun", "r"), "r", "left")
+    met = met.join(up_to(F.col("r") + 1, F.col("l"), "__over").withColumnRenamed("__over", "l"), "l", "left")
+    return met.select(*(F.col(c) for c in a.columns), F.when(F.col("l") <= F.col("r"), F.col("__begun_n") - F.col("__over_n")).otherwise(0).alias("n"))

@@ -502,6 +502,21 @@ def interval_stabbing(spark, sf_dir):
     return found.select(F.col("a_k").alias("k"), F.col("a_l").alias("l"), F.col("a_r").alias("r"), F.col("b_point").alias("point"))
 
 
+@query(f"SELECT a.k, a.l, a.r, CAST(a.copies AS BIGINT) AS copies, count(*) AS n FROM (SELECT k, l, r, count(*) AS copies FROM {_intervals_sql(1)} GROUP BY ALL) a JOIN {_intervals_sql(1)} b ON a.l <= b.r AND b.l <= a.r GROUP BY ALL", layout=False)
+def interval_overlap_counts(spark, sf_dir):
+    """The join of all intervals with all, summed up by interval."""
+    every = _intervals(spark, sf_dir, 1)
+    return join.overlap_counts(every.groupBy("k", "l", "r").agg(F.count("*").alias("copies")), every)
+
+
+@query(f"SELECT i.k, i.l, i.r, CAST(i.copies AS BIGINT) AS copies, count(*) AS n FROM (SELECT k, l, r, count(*) AS copies FROM {_intervals_sql(1)} GROUP BY ALL) i JOIN (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS p FROM orders) o ON i.l <= o.p AND o.p <= i.r GROUP BY ALL", layout=False)
+def interval_stabbing_counts(spark, sf_dir):
+    """All orders as points in all intervals, summed up by interval."""
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+    every = _intervals(spark, sf_dir, 1).groupBy("k", "l", "r").agg(F.count("*").alias("copies"))
+    return join.overlap_counts(every, _read(spark, sf_dir, "orders").select(day.alias("l"), day.alias("r")))
+
+
 @query(f"""SELECT row_id, count(*) AS n, min(l) AS l, max(r) AS r FROM (
   SELECT l, r, CAST(sum(fresh) OVER (ORDER BY l, r, k ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS row_id FROM (
     SELECT k, l, r, CASE WHEN l > coalesce(max(r) OVER (ORDER BY l, r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l - 1) THEN 1 ELSE 0 END AS fresh
