@@ -296,12 +296,12 @@ def polygon_area(spark, sf_dir):
 
 
 def _corners(spark, sf_dir):
-    return hierarchy.cell_mbrs(_layout(spark, sf_dir)).where(F.col("cell_id") != fixture.TOP).where("cell_id < 1000000").select("cell_id", F.array("x_min", "y_min").alias("low"), F.array("x_max", "y_max").alias("high"))
+    return hierarchy.cell_mbrs(_layout(spark, sf_dir)).where(F.col("cell_id") != fixture.TOP).select("cell_id", F.array("x_min", "y_min").alias("low"), F.array("x_max", "y_max").alias("high"))
 
 
 @query("""SELECT cell_id, x_min < 40 AND y_min < 6 AS low_less, x_min <= 3 AND y_min <= 3 AS low_le, x_max > 300 AND y_max > 200 AS high_more,
-  x_min = 0 AND y_min = 0 AS low_zero FROM cell_mbr WHERE cell_id < 1000000""")
-def point_dominance(spark, sf_dir):
+  x_min = 0 AND y_min = 0 AS low_zero FROM cell_mbr""")
+def point_dominance_all(spark, sf_dir):
     at = lambda x, y: F.array(F.lit(x).cast("long"), F.lit(y).cast("long"))
     return _corners(spark, sf_dir).select(
         "cell_id",
@@ -312,18 +312,34 @@ def point_dominance(spark, sf_dir):
     )
 
 
-@query("SELECT cell_id, x_min + x_max AS x, y_min + y_max AS y FROM cell_mbr WHERE cell_id < 1000000")
-def point_add(spark, sf_dir):
+@query("SELECT cell_id, x_min + x_max AS x, y_min + y_max AS y FROM cell_mbr")
+def point_add_all(spark, sf_dir):
     total = g.point_add(F.col("low"), F.col("high"))
     return _corners(spark, sf_dir).select("cell_id", g.x(total).alias("x"), g.y(total).alias("y"))
 
 
-@query("SELECT cell_id, x_min < 150 AND 50 < x_max AND y_min < 120 AND 60 < y_max AS hit FROM cell_mbr WHERE cell_id < 1000000")
-def box_overlap_corners(spark, sf_dir):
+@query("SELECT cell_id, x_min < 150 AND 50 < x_max AND y_min < 120 AND 60 < y_max AS hit FROM cell_mbr")
+def box_overlap_corners_all(spark, sf_dir):
     at = lambda x, y: F.array(F.lit(x).cast("long"), F.lit(y).cast("long"))
     return _corners(spark, sf_dir).select("cell_id", g.boxes_overlap(F.col("low"), F.col("high"), at(50, 60), at(150, 120)).alias("hit"))
 
 
+@query("""SELECT cell_id, x_min < 40 AND y_min < 6 AS low_less, x_min <= 3 AND y_min <= 3 AS low_le, x_max > 300 AND y_max > 200 AS high_more,
+  x_min = 0 AND y_min = 0 AS low_zero FROM cell_mbr WHERE cell_id < 1000000""")
+def point_dominance(spark, sf_dir):
+    return point_dominance_all(spark, sf_dir).where("cell_id < 1000000")
+
+
+@query("SELECT cell_id, x_min + x_max AS x, y_min + y_max AS y FROM cell_mbr WHERE cell_id < 1000000")
+def point_add(spark, sf_dir):
+    return point_add_all(spark, sf_dir).where("cell_id < 1000000")
+
+
+@query("SELECT cell_id, x_min < 150 AND 50 < x_max AND y_min < 120 AND 60 < y_max AS hit FROM cell_mbr WHERE cell_id < 1000000")
+def box_overlap_corners(spark, sf_dir):
+    return box_overlap_corners_all(spark, sf_dir).where("cell_id < 1000000")
+
+
 @query("""SELECT a.ref_id AS a_ref, b.ref_id AS b_ref FROM ref_mbr a JOIN ref_mbr b ON a.ref_id < b.ref_id
   AND a.x_min < b.x_max AND b.x_min < a.x_max AND a.y_min < b.y_max AND b.y_min < a.y_max""")
 def box_overlap_pairs(spark, sf_dir):

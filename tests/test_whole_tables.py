@@ -41,3 +41,10 @@ def test_all_intervals(spark, name):
     got = _compare(spark, name)
     every = spark.read.parquet(f"{SF}/orders.parquet").join(spark.read.parquet(f"{SF}/lineitem.parquet"), F.expr("o_orderkey = l_orderkey AND CAST(o_orderdate AS DATE) <= CAST(l_shipdate AS DATE)"))
     assert sum(x["copies"] for x in got) == every.count()
+
+
+@tables
+@pytest.mark.parametrize("name", ["point_dominance", "point_add", "box_overlap_corners"])
+def test_all_cells(spark, name):
+    got, some = _compare(spark, f"{name}_all"), _compare(spark, name)
+    assert len(got) == len(_compare(spark, "cell_mbr")) > len(some)
