@@ -533,6 +533,16 @@ def interval_stabbing_counts(spark, sf_dir):
     return join.overlap_counts(every, _read(spark, sf_dir, "orders").select(day.alias("l"), day.alias("r")))
 
 
+@query(f"""SELECT row_id, count(*) AS n, min(l) AS l, max(r) AS r FROM (
+  SELECT l, r, CAST(sum(fresh) OVER (ORDER BY l, r, k ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS row_id FROM (
+    SELECT k, l, r, CASE WHEN l > coalesce(max(r) OVER (ORDER BY l, r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l - 1) THEN 1 ELSE 0 END AS fresh
+    FROM (SELECT k, l + k // 32 * 4000 AS l, r + k // 32 * 4000 AS r FROM {_intervals_sql(1)}))) GROUP BY row_id""", layout=False)
+def interval_coalesce_all(spark, sf_dir):
+    """Every interval; each group of 32 order keys has days of its own, so there are gaps."""
+    moved = _intervals(spark, sf_dir, 1).selectExpr("k", "l + k div 32 * 4000 AS l", "r + k div 32 * 4000 AS r")
+    return partition.coalesce_intervals(moved).groupBy("row_id").agg(F.count("*").alias("n"), F.min("l").alias("l"), F.max("r").alias("r"))
+
+
 @query(f"""SELECT row_id, count(*) AS n, min(l) AS l, max(r) AS r FROM (
   SELECT l, r, CAST(sum(fresh) OVER (ORDER BY l, r, k ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS row_id FROM (
     SELECT k, l, r, CASE WHEN l > coalesce(max(r) OVER (ORDER BY l, r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l - 1) THEN 1 ELSE 0 END AS fresh

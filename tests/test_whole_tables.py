@@ -48,3 +48,10 @@ def test_all_intervals(spark, name):
 def test_all_cells(spark, name):
     got, some = _compare(spark, f"{name}_all"), _compare(spark, name)
     assert len(got) == len(_compare(spark, "cell_mbr")) > len(some)
+
+
+@tables
+def test_all_intervals_coalesce(spark):
+    got = _compare(spark, "interval_coalesce_all")
+    assert sum(x["n"] for x in got) == sum(x["copies"] for x in entry.queries()["interval_overlap_counts"](spark, SF).collect())
+    assert len(got) > 1 and max(x["r"] - x["l"] for x in got) > 121
