@@ -175,7 +175,7 @@ def _packer(columns: list[str]):
 
     def run(batches):
         for batch in batches:
-            packed = [zlib.compress((page.as_py() or b""), 1) for page in batch.column("html").cast(pa.binary())]
+            packed = [zlib.compress((page.as_py() or b""), 6) for page in batch.column("html").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(packed, pa.binary())], [*columns, "packed"])
 
     return run
