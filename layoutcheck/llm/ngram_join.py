@@ -61,7 +61,7 @@ def _sets(batches, n: int):
                 k = first[i + 1] - first[i]
                 if 0 < k < n:  # the whole sequence is one element, told apart by its length
                     own = h[first[i] : first[i + 1]]
-                    sets.append(words.mix(words._run_hashes(own, int(k), words._WORD_BASE) + np.uint64(k)))
+                    sets.append(words.mix(words.run_hashes(own, int(k)) + np.uint64(k)))
                 else:
                     sets.append(np.unique(runs[cuts[i] : cuts[i + 1]]))
             yield batch, sets

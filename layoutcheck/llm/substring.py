@@ -66,16 +66,17 @@ _SENT = "bucket int, kind int, target int, blob binary"
 
 
 def _windows(batches, k: int):
-    """Of runs of rows: hash, row, position of all windows; the rows' words; documents; tags."""
+    """Of runs of rows: bytes and offsets of the texts, first words; hash, row, position of all windows; documents; tags."""
     for batch in batches:
         for part in words.chunks(batch, _TEXT):
-            h, first = words.hashes(*words.column(part.column(_TEXT)))
+            texts = words.column(part.column(_TEXT))
+            h, first = words.hashes(*texts)
             known = np.asarray(part.column(_DOC).is_valid())
             doc = np.asarray(part.column(_DOC).fill_null(0)).astype(np.int64)
             tag = np.asarray(part.column(_TAG).fill_null(0)).astype(np.uint32)
             key, row, at = words.windows(h, first, k)
             keep = known[row] if not known.all() else slice(None)
-            yield h, first, key[keep], row[keep], at[keep], doc, tag
+            yield texts, first, key[keep], row[keep], at[keep], doc, tag
 
 
 def _sketcher(k: int, bits: int):
@@ -151,12 +152,13 @@ def _sender(k: int, bits: int, merged, buckets: int):
             rows += [(int(own[i]), 0, 0, _write(*(x[i:j] for x in (key, rest, doc, tag, at)))) for i, j in zip(cuts[:-1], cuts[1:])]
             return _rows(rows)
 
-        for h, first, key, row, at, doc, tag in _windows(batches, k):
+        for texts, first, key, row, at, doc, tag in _windows(batches, k):
             hit = np.flatnonzero(sketch.passes(key, bits, filled))
             if not len(hit):
                 continue
             start = first[row[hit]] + at[hit]
-            rest = (words._run_hashes(h, k, words._SECOND_BASE)[start] >> np.uint64(32)).astype(np.uint32)
+            second = words.run_hashes(words.hashes(*texts, salt=1)[0], k, salt=1)  # of words hashed another way
+            rest = (second[start] >> np.uint64(32)).astype(np.uint32)
             held.append((key[hit], rest, doc[row[hit]], tag[row[hit]], at[hit].astype(np.uint32)))
             size += len(hit)
             if size >= BLOCK // 2:

@@ -17,24 +17,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xC2B2AE3D27D4EB4F
-_SECOND_BASE = 0xD6E8FEB86659FD93
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, at least n + 1 of each."""
-    if base not in _tables or len(_tables[base][0]) <= n:
-        size = max(n + 1, PIECE + 64)
-
-        def table(b: int) -> np.ndarray:
-            t = np.full(size, b, np.uint64)
-            t[0] = 1
-            return np.multiply.accumulate(t)
-
-        _tables[base] = table(base), table(pow(base, -1, 1 << 64))
-    return _tables[base]
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,51 +56,76 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(word & ~after) + 1
 
 
-def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _powers(_BYTE_BASE, len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+def _factors(n: int, salt: int) -> np.ndarray:
+    """Odd pseudo-random numbers, one for each place."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_ODD[salt])) | np.uint64(1)
+
 
+def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of each span: its pieces of eight bytes, each mixed by itself and weighted by its place, and its length.
 
-def hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, index of every text's first word and of the end)."""
+    Mixing first is what a polynomial modulo 2**64 lacks: for any odd base, that has short strings which collide.
+    """
+    eight = np.ndarray((len(data),), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    length, seed = ends - starts, np.uint64(_ODD[1 - salt])
+    factor = _factors(int((length.max() + 7) >> 3), salt)
+    out = mix((eight[starts] & _MASKS[np.minimum(length, 8)]) ^ seed) * factor[0]
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        count = (length[long] - 1) >> 3  # pieces after the first
+        first = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(first, count) + 1
+        own = np.repeat(long, count)
+        piece = eight[starts[own] + 8 * place] & _MASKS[np.minimum(length[own] - 8 * place, 8)]
+        out[long] += np.add.reduceat(mix(piece ^ seed) * factor[place], first)
+    return mix(out + length.astype(np.uint64) * np.uint64(_ODD[salt]))
+
+
+def hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, index of every text's first word and of the end). salt: 0 or 1, for two independent hashes."""
     if lower:
         data = _LOWER[data]
     starts, ends = spans(data, offsets)
     first = np.searchsorted(starts, offsets)
-    if len(data) <= 2 * PIECE:
-        return (_hash_spans(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):  # pieces end between words; a longer word is a piece of its own
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 2 * PIECE, "right")))
         low = starts[i]
-        out[i:j] = _hash_spans(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        out[i:j] = _hash_spans(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low, salt)
         i = j
-        if len(_tables.get(_BYTE_BASE, ((),))[0]) > 32 * PIECE:
-            _tables.clear()
     return out, first
 
 
-def _run_hashes(h: np.ndarray, k: int, base: int) -> np.ndarray:
-    power, inverse = _powers(base, min(len(h), PIECE) + k)
+def run_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hash of every run of k hashes: runs of 1, 2, 4, ... are joined two by two, and those that make up k one after another."""
+    factor = _factors(2 * k.bit_length(), salt)
     out = np.empty(max(0, len(h) - k + 1), np.uint64)
+
+    def join(a, b, by):
+        a = a * by
+        a += b
+        a ^= a >> np.uint64(32)
+        return a
+
     for low in range(0, len(out), PIECE):
-        part = h[low : low + PIECE + k - 1]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * power[: len(part)], out=total[1:])
-        n = len(part) - k + 1
-        out[low : low + n] = mix((total[k:] - total[:-k]) * inverse[:n])
+        block = h[low : low + PIECE + k - 1]
+        n, done, whole = len(block) - k + 1, 0, None
+        for bit in range(k.bit_length()):
+            size = 1 << bit
+            if k & size:
+                part = block[done : done + n]
+                whole = part if whole is None else join(whole, part, factor[2 * bit])
+                done += size
+            if 2 * size <= k:
+                block = join(block[:-size], block[size:], factor[2 * bit + 1])
+        out[low : low + n] = mix(whole)
     return out
 
 
-def windows(h: np.ndarray, first: np.ndarray, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, position in the text) of every run of k words inside one text.
-
-    second: another hash, independent of the first.
-    """
+def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, position in the text) of every run of k words inside one text."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    runs = _run_hashes(h, k, _SECOND_BASE if second else _WORD_BASE)
+    runs = run_hashes(h, k)
     at = np.flatnonzero(text[: len(runs)] == text[k - 1 : k - 1 + len(runs)])
     return runs[at], text[at], at - first[text[at]]
 

@@ -83,6 +83,19 @@ def test_the_threshold_is_exact(documents):
     assert result(jaccard_components(documents(rows))) == brute(rows)
 
 
+def test_different_long_words_are_different_sets(documents):
+    one, two = ("".join(ab[i.bit_count() & 1] for i in range(2048)) for ab in ("ab", "ba"))
+    rows = [(1, one), (2, two), (3, one.upper()), (4, f"{one} x y z"), (5, f"{two} x y z"), (6, " ".join(["w"] * 100_000 + [f"v{i}" for i in range(50_000)])), (7, " ".join(["w"] * 90_000 + [f"v{i}" for i in range(50_000)]))]
+    assert result(jaccard_components(documents(rows))) == brute(rows)
+
+
+def test_small_buckets_and_blocks_change_nothing(documents, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK", 50)
+    monkeypatch.setattr(nj, "BUCKET_BYTES", 200)
+    rows = corpus(4)
+    assert result(jaccard_components(documents(rows))) == brute(rows)
+
+
 def test_cost_asks_for_more_where_lists_are_long():
     import numpy as np
 

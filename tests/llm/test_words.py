@@ -70,3 +70,25 @@ def test_gaps_round_trip():
     cells = np.array([0, 1, 254, 255, 256, 510, 511, 2000, 1 << 19], np.uint32)
     assert sketch.unpack(sketch.pack(cells)).tolist() == cells.tolist()
     assert sketch.unpack(sketch.pack(cells[:0])).tolist() == []
+
+
+def _thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 512, 1024, 2048, 4096])
+def test_words_that_collide_in_polynomials_do_not_collide(n):
+    pair = [_thue_morse(n, "a", "b"), _thue_morse(n, "b", "a"), "a" * n, "a" * (n + 1), "a" * (n - 1) + "\0"]
+    for salt in (0, 1):
+        h = words.hashes(*words.column(pa.array([" ".join(pair)])), salt=salt)[0]
+        assert len(set(h.tolist())) == len(pair)
+
+
+@pytest.mark.parametrize("k", [2, 4, 8, 13, 16])
+def test_runs_that_collide_in_polynomials_do_not_collide(k):
+    text = [_thue_morse(16, "x ", "y "), _thue_morse(16, "y ", "x ")]
+    h, first = words.hashes(*words.column(pa.array(text)))
+    runs, of, at = words.windows(h, first, k)
+    want = [tuple(text[i].split()[j : j + k]) for i, j in zip(of, at)]
+    assert len(set(runs.tolist())) == len(set(want)) == len(set(zip(runs.tolist(), want)))
+    assert not set(runs.tolist()) & set(words.run_hashes(words.hashes(*words.column(pa.array(text)), salt=1)[0], k, salt=1).tolist())
