@@ -5,25 +5,35 @@ that make up the rest. Pieces of one length form a bucket; each piece is a
 sequence by itself.
 """
 
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layoutcheck.llm.shared import Scratch, remembered, small_batches
-from layoutcheck.llm.words import chunks, mix
+from layoutcheck.llm.shared import Scratch, batches_of, remembered, small_batches, task
+from layoutcheck.llm.words import chunks
 
 LONGEST = 2048
 END_ID = 1
 RANGES = 4096
 #: Words, with and without punctuation, in a half of a worker's memory of ids.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Lower-case letters that are one code point in every normal form.
 _SIMPLE = "".join(chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)))
 _ASCII_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that a tokenizer of this kind tokenizes alike together, apart and without their last punctuation.
+_PROBES = ["hello,", "world!", "don't", "1234.", "l'\u00e9t\u00e9;", "a-b", "(x)", "\u00fcber...", "zz9%", "Q&A", "\u0434\u0430,", "\u0958.", "\u4e2d\u6587", "x" * 40]
+
+
+@lru_cache(1 << 16)
+def _stands(c: str) -> bool:
+    """Whether the normalizer leaves this letter or digit as it is, so that punctuation after it is tokenized apart."""
+    return c.isalnum() and unicodedata.normalize("NFC", c.lower()) == c
 
 
 class Words:
@@ -45,6 +55,10 @@ class Words:
         self.simple = Tokenizer.from_file(path)
         self.simple.normalizer = normalizers.Sequence([])
         self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probes = [p.encode().lower() for p in _PROBES]
+        known = self.learn(set(probes))
+        if self._one("  ".join(_PROBES).encode()) != b"".join(known[p] for p in probes):
+            raise ValueError(f"{path}: not a tokenizer that splits at white space, lower-cases and ends words with </w>")
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
@@ -60,7 +74,7 @@ class Words:
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids by word, for these words at least.
 
-        Punctuation at the end is always tokenized apart from a letter or digit before it.
+        Punctuation at the end is tokenized apart from a letter or digit before it that the normalizer leaves alone.
         """
         if len(self.ids) > REMEMBERED:
             self.ids, self.older = {}, self.ids
@@ -70,7 +84,7 @@ class Words:
             again = {w: older[w] for w in new if w in older}
             ids.update(again)
             new = [w for w in new if w not in again]
-        cores = [c if ((c := w.rstrip(_ASCII_TAIL))[-1:].isalnum() or c.decode()[-1:].isalnum()) and b"<|" not in c else w for w in new]
+        cores = [c if (c := w.rstrip(_ASCII_TAIL)) and (c[-1:].isalnum() or _stands(c.decode()[-1])) and b"<|" not in c else w for w in new]
         fresh = {c for c in cores if c not in ids}
         if older:
             ids.update([(c, older[c]) for c in fresh if c in older])
@@ -131,10 +145,9 @@ def _packer(path: str | None, end_id: int, longest: int, with_ids: bool):
                         blobs.append(piece)
                     at += size
             columns = [np.array(x, np.int64) for x in (start, length, crc, total)]
-            spread = mix((columns[2] << 32 | columns[0]).astype(np.uint64)) % np.uint64(RANGES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(c) for c in columns), pa.array(spread.astype(np.int32)), *([pa.array(blobs, pa.binary())] if with_ids else [])],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "range", *(["ids"] if with_ids else [])],
+                [batch.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(c) for c in columns), *([pa.array(blobs, pa.binary())] if with_ids else [])],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])],
             )
 
     return run
@@ -148,11 +161,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_I
     packed each for itself; other columns are ignored; an empty table gives no
     rows. Texts are cut after tokenizing as a whole, so long ones lose nothing.
     """
-    small_batches(docs.sparkSession, 1024)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    pieces = rows.mapInArrow(_packer(tokenizer_path, end_id, longest, with_ids), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, range int" + ", ids binary" * with_ids)
-    pieces = Scratch(docs.sparkSession, "packing").keep(pieces, "pieces")  # read twice
+    pieces = rows.mapInArrow(task(_packer(tokenizer_path, end_id, longest, with_ids), "packing"), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    pieces = pieces.withColumn("range", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(RANGES)).cast("int"))  # with the id, so copies part
+    with batches_of(docs.sparkSession, 1024):  # words are tokenized many at once; bytes bound the batch
+        pieces = Scratch(docs.sparkSession, "packing").keep(pieces, "pieces")  # read twice
     # a dozen lengths times RANGES rows at most, whatever the input
     before = Window.orderBy("length", "range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("length", "range").count().select("length", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))

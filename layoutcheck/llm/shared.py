@@ -2,21 +2,26 @@
 
 import atexit
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows handed to Python at a time. Texts may be long, so few.
-BATCH_ROWS = 256
+#: Rows and bytes handed to Python at a time. Texts may be long, so few.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: Rows of a Parquet file that are decoded at a time, and bytes of a row group that a task gathers before it writes.
+DECODED_ROWS, ROW_GROUP = 256, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; one of our own only where none is set."""
+    """The folder that the cluster names. Only a local session, whose executors are the driver, gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -40,7 +45,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df once and reads it again, which cuts its lineage."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -59,10 +64,41 @@ def remembered(kind: str, key, make):
     return _REMEMBERED[kind][1]
 
 
+def task(run, kind: str | None = None):
+    """run, for mapInArrow; a worker first forgets what operators of another kind remember."""
+
+    def begin(batches):
+        if any(other != kind for other in _REMEMBERED):
+            _REMEMBERED.clear()
+        yield from run(batches)
+
+    return begin
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Texts go to Python in small batches, which bounds a worker's memory; workers find this package as the driver did."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Texts are decoded and go to Python in small batches, which bounds a task's memory; workers find this package as the driver did.
+
+    Lazy results are read with these settings of the session too, so they stay.
+    """
+    env = spark.sparkContext.environment
+    env.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # with the next, what a worker frees goes back at once
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
+    env.setdefault("MALLOC_ARENA_MAX", "1")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(DECODED_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Another number of rows in a batch, for the actions inside."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -49,3 +49,30 @@ def test_odd_rows(documents):
     assert pack(documents([(1, "b")]).where("false")).count() == 0
     clash = documents([(1, "b")]).selectExpr("*", "3 AS length", "4 AS range", "5 AS start")
     assert [tuple(r)[:3] for r in pack(clash).collect()] == [(1, 0, 2)]
+
+
+def test_words_that_normalization_changes_have_the_tokenizers_ids(tokenizer, monkeypatch):
+    from layoutcheck.llm import packing
+
+    known = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x80, 0x3000)) if c.isalnum()] + list("\u0958\u09dc\u0130\ufb01\u00c5\u212b\uac00")
+    words = [p % c for c in letters for p in ("x%s.", "%s,", "%s's!")]
+    words = [w.encode().lower() for w in words]
+    want = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(words, tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False))}
+    monkeypatch.setattr(packing, "REMEMBERED", 500)  # halves are forgotten again and again
+    for low in range(0, len(words), 300):
+        some = set(words[low : low + 300]) | set(words[:20])
+        ids = known.learn(some)
+        assert all(ids[w] == want[w] for w in some)
+
+
+def test_another_kind_of_tokenizer_is_refused():
+    from layoutcheck.llm import packing
+
+    with pytest.raises(ValueError):
+        packing.Words(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_copies_are_numbered_apart(documents):
+    got = pack(documents([(i, "one same text") for i in range(300)])).collect()
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
