@@ -20,21 +20,21 @@ from pyspark.sql import functions as F
 
 from layoutcheck.llm import words
 from layoutcheck.llm.graph import components
-from layoutcheck.llm.shared import Scratch, partitions, small_batches
+from layoutcheck.llm.shared import Scratch, batches_of, partitions, small_batches, task
 from layoutcheck.llm.substring import _read, _write
 
 N = 3
 #: Similarity in hundredths.
 THRESHOLD = 90
-#: The frequency sketch: rows of cells, of a fixed size.
-SKETCH_ROWS, SKETCH_BITS, SLICE_BITS = 2, 20, 16
+#: The frequency sketch: rows of cells, as many as the n-grams call for, from 4 to 64 MB; each slice of cells has its owner.
+SKETCH_ROWS, LEAST_BITS, MOST_BITS, SLICE_BITS = 2, 19, 23, 16
 #: Longest match that a document may ask for, and what verifying a candidate costs, in postings.
 MOST_MATCHES, VERIFY = 4, 16.0
-#: Bits of the map of documents whose sets are needed: 8 MB, whatever the input.
-NEEDED_BITS = 26
-#: Postings that a block gathers before it sends.
-BLOCK = 500_000
-BUCKET_BYTES = 16 << 20
+#: log2 of the bits of the map of documents whose sets are needed: eight for each document, from 128 KB to 64 MB.
+LEAST_NEEDED, MOST_NEEDED = 20, 29
+#: Postings that a block gathers before it sends, and bytes of postings that a task sorts at once.
+BLOCK = 250_000
+BUCKET_BYTES = 4 << 20
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB], np.uint64)
 _POSTING = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)  # token, class, set size, place in the order, l
@@ -45,8 +45,12 @@ def required(n, threshold: int = THRESHOLD):
     return (threshold * n + 99) // 100
 
 
-def _cells(h: np.ndarray, row: int) -> np.ndarray:
-    return ((h * _MULTIPLIERS[row]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _log2(n: float, least: int, most: int) -> int:
+    return int(min(max(np.ceil(np.log2(max(n, 1))), least), most))
+
+
+def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return ((h * _MULTIPLIERS[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _sets(batches, n: int):
@@ -72,15 +76,15 @@ def _class_of(own: np.ndarray) -> int:
     return int(words.mix(np.array([words.mix(own ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)]))[0].astype(np.int64))
 
 
-def _counter(n: int):
+def _counter(n: int, bits: int):
     def run(batches):
-        count = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.uint32)
+        count = np.zeros((SKETCH_ROWS, 1 << bits), np.uint32)
         held, size = [], 0
 
         def add():
             h = np.concatenate(held)
             for row in range(SKETCH_ROWS):
-                count[row] += np.bincount(_cells(h, row), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                count[row] += np.bincount(_cells(h, row, bits), minlength=1 << bits).astype(np.uint32)
 
         def rows(kind, ids, marks, sizes, classes, slices, blobs):
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "doc_id", "mark", "n", "class", "slice", "blob"])
@@ -136,6 +140,7 @@ def matches(estimates: np.ndarray, base: int, documents: int) -> int:
 def _poster(n: int, threshold: int, sketch, documents: int, buckets: int):
     def run(batches):
         count = np.frombuffer(sketch.value, np.float32).reshape(SKETCH_ROWS, -1)
+        bits = count.shape[1].bit_length() - 1
         noise = count.mean(axis=1)
         held, size, seen = [], 0, set()
 
@@ -156,7 +161,7 @@ def _poster(n: int, threshold: int, sketch, documents: int, buckets: int):
                     continue
                 seen.add((cls, k))
                 least = required(k, threshold)
-                rare = np.minimum(*(np.maximum(count[row][_cells(own, row)] - noise[row], 0) for row in range(SKETCH_ROWS))) + 1
+                rare = np.minimum(*(np.maximum(count[row][_cells(own, row, bits)] - noise[row], 0) for row in range(SKETCH_ROWS))) + 1
                 most = min(MOST_MATCHES, least)
                 reach = k - least + most
                 order = np.lexsort((own, rare))[:reach]
@@ -221,15 +226,11 @@ def _verifier(threshold: int):
     return run
 
 
-def _place(doc_id) -> F.Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << NEEDED_BITS)).cast("int")
-
-
 class _Verify:
     """Exact tests of candidate pairs; reads only the texts that pairs need, once."""
 
-    def __init__(self, docs: DataFrame, ids: DataFrame, scratch: Scratch, n: int, threshold: int):
-        self.docs, self.ids, self.scratch, self.n, self.threshold, self.sets, self.round = docs, ids, scratch, n, threshold, None, 0
+    def __init__(self, docs: DataFrame, ids: DataFrame, scratch: Scratch, n: int, threshold: int, bits: int):
+        self.docs, self.ids, self.scratch, self.n, self.threshold, self.bits, self.sets, self.round = docs, ids, scratch, n, threshold, bits, None, 0
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         spark, self.round = self.docs.sparkSession, self.round + 1
@@ -237,22 +238,20 @@ class _Verify:
         need = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
         if self.sets is not None:
             need = need.join(self.sets.select("class"), "class", "left_anti")
-        place = _place("doc_id")
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << self.bits)).cast("int")
         places = self.ids.join(need, "class").select(place.alias("place")).selectExpr("place div 64 AS word", "shiftleft(1L, place % 64) AS bit")
-        bits = np.zeros(1 << NEEDED_BITS - 6, np.uint64)
+        bits = np.zeros(1 << self.bits - 6, np.uint64)
         got = places.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most a word for each 64 bits
         bits[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).view(np.uint64)
         needed = spark.sparkContext.broadcast(bits.tobytes())
-        found = self.docs.withColumn("place", place).mapInArrow(_fetcher(self.n, needed), "class long, elements binary")
+        found = self.docs.withColumn("place", place).mapInArrow(task(_fetcher(self.n, needed)), "class long, elements binary")
         found = found.join(need, "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements"))
         found = self.scratch.keep(found, f"sets-{self.round}")
         self.sets = found if self.sets is None else self.sets.union(found)
         a = self.sets.select(F.col("class").alias("a"), F.col("elements").alias("set_a"))
         b = self.sets.select(F.col("class").alias("b"), F.col("elements").alias("set_b"))
-        small_batches(spark, 16)  # two whole sets a row
-        links = self.scratch.keep(pairs.join(a, "a").join(b, "b").mapInArrow(_verifier(self.threshold), "a long, b long"), f"links-{self.round}")
-        small_batches(spark)
-        return links
+        with batches_of(spark, 16):  # two whole sets a row
+            return self.scratch.keep(pairs.join(a, "a").join(b, "b").mapInArrow(_verifier(self.threshold), "a long, b long"), f"links-{self.round}")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,8 +261,8 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD,
     a null or empty text an empty set that links with nothing, so such a row is
     its own component. Rows with a null id take part in links but name no
     component unless all of it is null. Rows of one id with different texts
-    count as documents of their own; repeated rows stay. Other columns are
-    ignored. An empty table gives no rows. ``mark`` is xxhash64 of id and text,
+    count as documents of their own; repeated rows stay. Texts of any length are
+    read whole, in pieces cut between words. Other columns are ignored. An empty table gives no rows. ``mark`` is xxhash64 of id and text,
     ``component`` names a component, null for empty sets. threshold: hundredths,
     above 50.
     """
@@ -271,33 +270,43 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD,
     small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    first = scratch.keep(docs.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(_counter(n), "kind int, doc_id long, mark long, n long, class long, slice int, blob binary"), "first")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = _log2(size / 6, LEAST_BITS, MOST_BITS)  # about a cell for each word
+    first = scratch.keep(docs.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(task(_counter(n, bits)), "kind int, doc_id long, mark long, n long, class long, slice int, blob binary"), "first")
     ids = first.where("kind = 0").select("doc_id", "mark", "n", "class")
-    sketch = np.zeros((SKETCH_ROWS << SKETCH_BITS - SLICE_BITS, 1 << SLICE_BITS), np.float32)
+    sketch = np.zeros((SKETCH_ROWS << bits - SLICE_BITS, 1 << SLICE_BITS), np.float32)
     for i, blob in first.where("kind = 1").select("slice", "blob").repartition(partitions(spark), "slice").mapInArrow(_adder, "slice int, blob binary").toLocalIterator():
-        sketch[i] = np.frombuffer(blob, np.float32)  # of a fixed size
+        sketch[i] = np.frombuffer(blob, np.float32)  # 64 MB in all, at most
     documents, elements = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    buckets = int(max(partitions(spark), elements * 3 // BUCKET_BYTES))
+    buckets = int(max(partitions(spark), elements * 25 * (100 - threshold) // 100 // BUCKET_BYTES))
     shared = spark.sparkContext.broadcast(sketch.tobytes())
+    del sketch
 
-    posted = docs.mapInArrow(_poster(n, threshold, shared, documents, buckets), "bucket int, blob binary")
+    posted = docs.mapInArrow(task(_poster(n, threshold, shared, documents, buckets)), "bucket int, blob binary")
     lists = scratch.keep(posted.groupBy("bucket").applyInArrow(_lister, "token long, class long, n long, at int, ask int"), "lists")
+    shared.unpersist()
     ids_of_some = ids.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    verify = _Verify(docs, ids_of_some, scratch, n, threshold)
+    verify = _Verify(docs, ids_of_some, scratch, n, threshold, _log2(8 * documents, LEAST_NEEDED, MOST_NEEDED))
 
     level = F.greatest(F.lit(1), F.col("at") - (F.col("n") - F.floor((threshold * F.col("n") + 99) / 100)) + 1).cast("int")
     lists = lists.withColumn("level", level)
     prefixes = scratch.keep(lists.groupBy("class").agg(F.first("ask").alias("ask"), F.collect_list(F.struct("token", "level")).alias("prefix")), "prefixes")
 
+    def band(size: F.Column) -> F.Column:
+        """Sizes that grow by a band, so that a set meets its own band and the next."""
+        return F.floor(F.log(size.cast("double")) / float(np.log(100 / threshold))).cast("int")
+
     def met(x: DataFrame, y: DataFrame, apart: F.Column) -> DataFrame:
-        """Pairs that share an element of both shortest prefixes, at places and with sizes that allow a link.
+        """Pairs that share an element of both shortest prefixes, at places and with sizes that allow a link; x's set is not the larger one.
 
         The first element that a linking pair shares passes this.
         """
         na, nb = F.col("x.n"), F.col("y.n")
         overlap = F.floor((threshold * (na + nb) + 99 + threshold) / (100 + threshold))
-        fits = (100 * F.least(na, nb) >= threshold * F.greatest(na, nb)) & (F.least(na - F.col("x.at"), nb - F.col("y.at")) >= overlap)
-        both = x.where("level = 1").alias("x").join(y.where("level = 1").alias("y"), F.col("x.token") == F.col("y.token")).where(apart & fits)
+        fits = (na <= nb) & (100 * na >= threshold * nb) & (F.least(na - F.col("x.at"), nb - F.col("y.at")) >= overlap)
+        x = x.where("level = 1").withColumn("band", F.explode(F.sequence(band(F.col("n")), band(F.floor(100 * F.col("n") / threshold)))))
+        y = y.where("level = 1").withColumn("band", band(F.col("n")))
+        both = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))).where(apart & fits)
         return both.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
     def matched(pairs: DataFrame) -> DataFrame:
@@ -309,14 +318,15 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD,
         return wide.where(F.size(F.array_intersect(within("a"), within("b"))) >= ask).select("a", "b")
 
     leaders = lists.where("level = 1").groupBy("token").agg(F.min(F.struct("at", "class", "n", "level")).alias("l")).select("token", "l.*")
-    links = verify(matched(met(lists, leaders, F.col("x.class") != F.col("y.class"))))
+    other = F.col("x.class") != F.col("y.class")
+    links = verify(matched(met(lists, leaders, other).union(met(leaders, lists, other)).distinct()))
 
     joined = components(links, scratch, "stars")
     lists = lists.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     lists = scratch.keep(lists, "lists-2")
     open_tokens = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     lists = lists.join(open_tokens, "token", "left_semi")
-    rest = met(lists, lists, (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")))
+    rest = met(lists, lists, F.col("x.component") != F.col("y.component"))
     tested = spark.read.parquet(f"{scratch.root}/pairs-1")
     more = verify(matched(rest.join(tested, ["a", "b"], "left_anti")))
 

@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layoutcheck.llm import sketch, words
-from layoutcheck.llm.shared import Scratch, partitions, small_batches
+from layoutcheck.llm.shared import partitions, small_batches, task
 
 WINDOW = 13
 #: Most bytes of the merged sketch, which every Python worker holds once.
 SKETCH_BYTES = 128 << 20
 #: Windows that a block gathers before it sends.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Bytes of text for each group of keys.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 _DOC, _TAG, _TEXT, _AT = "__doc", "__tag", "__text", "__at"
 
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = int(max(partitions(spark), size // BUCKET_BYTES))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
-    sent = rows.mapInArrow(_sketcher(k, bits), "slice int, once binary, twice binary")
+    sent = rows.mapInArrow(task(_sketcher(k, bits)), "slice int, once binary, twice binary")
     slices = sent.repartition(partitions(spark), "slice").mapInArrow(_merger, "slice int, bits binary")
     merged = np.zeros((sketch.ROWS << bits - sketch.SLICE, 1 << sketch.SLICE - 3), np.uint8)
     for i, b in slices.toLocalIterator(prefetchPartitions=False):  # at most sketch_bytes in all
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast(merged.tobytes())
     del merged
 
-    keyed = rows.mapInArrow(_sender(k, bits, shared, buckets), _SENT)
+    keyed = rows.mapInArrow(task(_sender(k, bits, shared, buckets)), _SENT)
     found = keyed.groupBy("bucket").applyInArrow(_grouper(buckets), _SENT)
     places = found.groupBy("bucket").applyInArrow(_places, f"{_DOC} long, {_TAG} long, {_AT} binary")
     whole = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, text_col])), F.col(f"`{id_col}`").cast("long").alias(_DOC), F.crc32(text.cast("binary")).alias(_TAG))
