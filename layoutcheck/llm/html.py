@@ -5,21 +5,28 @@ Spark counts on how many pages of a host with different texts each subtree
 occurs; those that recur on many are the site's template and are deleted. Of what is left, parts
 that say by tag, class, id or role that they are no main text go too, whatever
 their count, for a host with few pages shows no template.
+
+A page whose text no deletion changes is printed where it is read; a bit map of
+the others says which pages travel to their deletions.
 """
 
 import re
 import zlib
 from hashlib import blake2b
 from html import unescape
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layoutcheck.llm.shared import Scratch, small_batches
+from layoutcheck.llm.shared import Scratch, small_batches, task
 
 #: A template's subtree occurs on so many pages of its host at least, whatever the host's size; pages of equal text count once.
 MIN_PAGES = 10
+#: log2 of the bits of the map of pages that change: eight for each page, from 128 KB to 64 MB. A page that hits another's bit only travels needlessly.
+LEAST_BITS, MOST_BITS = 20, 29
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -38,8 +45,8 @@ _NEVER = frozenset("head script style noscript template svg math iframe object c
 _FLOWING = _INLINE | frozenset("script style noscript template svg math iframe object canvas audio video button select textarea".split())
 _MAIN = frozenset(("article", "main"))
 _WHOLE = frozenset(("html", "body", "head"))
-#: Elements that recur in articles by chance, as parts of a text, list or table.
-_PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th".split())
+#: Elements that recur in articles by chance, as parts of a text, list or table: several articles may begin with one line.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd tr td th".split())
 #: Words of a class, id or role that mark no main text, anywhere and outside the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond reply share sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager search complementary contentinfo footer".split()
@@ -59,8 +66,14 @@ class _Open:
         self.tag, self.at, self.held, self.skip, self.main, self.guards = tag, at, [], skip, main, False
 
 
-def walk(page: str, drop: frozenset = frozenset(), hashes: list | None = None) -> str:
-    """The page's main text without the subtrees whose hash is in ``drop``; appends the hashes of all that may be dropped."""
+def walk(page: str, drop: frozenset = frozenset(), hashes: tuple[list, list] | None = None) -> str:
+    """The page's main text without the subtrees whose hash is in ``drop``.
+
+    hashes: two lists that get the hashes of subtrees that may be dropped and put
+    text into the result as it is, and of those that would if its article went.
+    """
+    inside: list[int] = []
+    outside: list[int] = []
     out: list[str] = []  # text; block ends as a space
     main_out: list[str] = []
     stack = [_Open("", 0, False, False)]
@@ -78,11 +91,11 @@ def walk(page: str, drop: frozenset = frozenset(), hashes: list | None = None) -
         container = e.main and e.tag in _MAIN
         up.guards |= e.guards or container
         if not container and not e.guards and e.tag not in _WHOLE and e.tag not in _INLINE and not (e.main and e.tag in _PARTS):
-            key = int.from_bytes(digest, "little", signed=True)
-            if hashes is not None and any(len(h.strip()) for h in e.held):
-                hashes.append(key)
+            key, to = int.from_bytes(digest, "little", signed=True), main_out if e.main else out
+            if hashes is not None and any(not s.isspace() and s for s in islice(to, e.at, None)):
+                (inside if e.main else outside).append(key)
             if key in drop:
-                del (main_out if e.main else out)[e.at :]
+                del to[e.at :]
         if not up.skip and e.tag not in _FLOWING:
             (main_out if up.main or e.main else out).append(" ")
 
@@ -145,7 +158,11 @@ def walk(page: str, drop: frozenset = frozenset(), hashes: list | None = None) -
         elif attributes.rstrip().endswith("/") and tag in ("svg", "path"):
             end()
     close_to(1)
-    return " ".join("".join(main_out if "".join(main_out).strip() else out).split())
+    text = " ".join("".join(main_out).split())
+    if hashes is not None:
+        hashes[0].extend(inside if text else outside)
+        hashes[1].extend(outside if text else [])
+    return text or " ".join("".join(out).split())
 
 
 def host_of(url: str | None) -> str:
@@ -160,23 +177,29 @@ def _hash(s: str) -> int:
 
 def _hasher(batches):
     for batch in batches:
-        uids, hosts, marks, keys = [], [], [], []
+        uids, hosts, marks, keys, others = [], [], [], [], []
         for uid, url, page in zip(batch.column("uid").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            own: list[int] = []
+            own: tuple[list, list] = ([], [])
             marks.append(_hash(walk(page or "", hashes=own)))
             uids.append(uid)
             hosts.append(_hash(host_of(url)))
-            keys.append(sorted(set(own)))
-        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "host", "mark", "keys"])
+            keys.append(sorted(set(own[0])))
+            others.append(sorted(set(own[1]) - set(own[0])))
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))], ["uid", "host", "mark", "keys", "others"])
 
 
-def _packer(columns: list[str]):
-    """Pages travel to their deletions compressed."""
+def _splitter(columns: list[str], changes, changed: bool):
+    """Either pages that no deletion changes, with their text, or all others, compressed."""
 
     def run(batches):
+        bits = np.frombuffer(changes.value, np.uint8)
         for batch in batches:
-            packed = [zlib.compress((page.as_py() or b""), 6) for page in batch.column("html").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(packed, pa.binary())], [*columns, "packed"])
+            at = np.asarray(batch.column("place")).astype(np.int64)
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            batch = batch.filter(pa.array(hit if changed else ~hit))
+            pages = [page or "" for page in batch.column("html").to_pylist()]
+            made = pa.array([zlib.compress(page.encode("utf-8", "surrogatepass"), 6) for page in pages], pa.binary()) if changed else pa.array(map(walk, pages), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), made], [*columns, "packed" if changed else "text"])
 
     return run
 
@@ -185,7 +208,7 @@ def _extractor(columns: list[str]):
     def run(batches):
         for batch in batches:
             drops = batch.column("drop").to_pylist()
-            texts = [walk(zlib.decompress(page.as_buffer()).decode(), frozenset(drop or ())) for page, drop in zip(batch.column("packed"), drops)]
+            texts = [walk(zlib.decompress(page.as_buffer()).decode("utf-8", "surrogatepass"), frozenset(drop or ())) for page, drop in zip(batch.column("packed"), drops)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, "text"])
 
     return run
@@ -196,8 +219,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     A null or empty page has the empty text; a null URL is a host of its own
     (the empty one). The article and what holds it are never deleted, nor is an
-    inline element by itself, nor a heading, list item, table row or cell of the
-    article; its other subtrees are, like those outside. Pages of one host with equal
+    inline element by itself, nor a heading, paragraph, list item, table row or
+    cell of the article by itself; boxes in it are, like all outside. Pages of one host with equal
     texts (before deletion) count as one; repeated rows each get their text; rows of one id with different pages are pages of their own.
     Other columns are ignored; an empty table gives no rows.
     """
@@ -206,13 +229,23 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     scratch = Scratch(spark, "html")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     rows = rows.withColumn("uid", F.xxhash64("page_id", "url", "html"))
-    seen = scratch.keep(rows.select("uid", "url", "html").mapInArrow(_hasher, "uid long, host long, mark long, keys array<long>"), "subtrees")
+    seen = scratch.keep(rows.select("uid", "url", "html").mapInArrow(task(_hasher), "uid long, host long, mark long, keys array<long>, others array<long>"), "subtrees")
     once = seen.dropDuplicates(["uid"])
-    own = once.select("uid", "host", "mark", F.explode("keys").alias("key"))
+    own = once.select("uid", "host", "mark", F.explode(F.concat(F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(True).alias("shown"))), F.transform("others", lambda k: F.struct(k.alias("key"), F.lit(False).alias("shown"))))).alias("k")).select("uid", "host", "mark", "k.*")
     often = own.select("host", "key", "mark").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "key")
-    drops = own.join(often, ["host", "key"], "left_semi").groupBy("uid").agg(F.collect_list("key").alias("drop"))
+    drops = own.join(often, ["host", "key"], "left_semi").groupBy("uid").agg(F.collect_list("key").alias("drop"), F.max("shown").alias("shown")).where("shown").select("uid", "drop")
+    drops = scratch.keep(drops, "drops")
+    width = int(min(max(np.ceil(np.log2(max(8 * seen.count(), 1))), LEAST_BITS), MOST_BITS))
+    place = F.pmod("uid", F.lit(1 << width)).cast("int")
+    bits = bytearray(1 << width - 3)
+    got = drops.select(place.alias("place")).selectExpr("place div 64 AS word", "shiftleft(1L, place % 64) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # a word for each 64 bits at most
+    np.frombuffer(bits, np.uint64)[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).view(np.uint64)
+    changes = spark.sparkContext.broadcast(bits)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    packed = rows.mapInArrow(_packer(["page_id", "url", "uid"]), f"page_id {kinds['page_id']}, url {kinds['url']}, uid long, packed binary")
-    text = packed.join(drops, "uid", "left").select("page_id", "url", "packed", "drop")
-    done = text.mapInArrow(_extractor(["page_id", "url"]), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    named = f"page_id {kinds['page_id']}, url {kinds['url']}"
+    placed = rows.withColumn("place", place)
+    same = placed.mapInArrow(task(_splitter(["page_id", "url"], changes, False)), f"{named}, text string")
+    sent = placed.mapInArrow(task(_splitter(["page_id", "url", "uid"], changes, True)), f"{named}, uid long, packed binary")
+    cut = sent.join(drops, "uid", "left").select("page_id", "url", "packed", "drop").mapInArrow(_extractor(["page_id", "url"]), f"{named}, text string")
+    done = same.union(cut)
     return done.withColumn("n_chars", F.length("text").cast("long"))

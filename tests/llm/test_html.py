@@ -85,3 +85,45 @@ def test_a_box_inside_articles_that_otherwise_differ_goes(spark):
     rows = [(i, f"https://a.org/{i}", page(i)) for i in range(12)] + [(100 + i, f"https://b.org/{i}", page(i % 3)) for i in range(30)]
     got = _texts(spark, rows)
     assert got == {i: f"Summary Own {i} yes {i}" for i in range(12)} | {100 + i: f"Summary Own {i % 3} Get our letter each week yes {i % 3}" for i in range(30)}
+
+
+def _plain(rows, least=10):
+    """The same by plain Python: count subtrees a host over pages of different text, drop, print."""
+    from collections import defaultdict
+
+    seen, pages = defaultdict(set), []
+    for i, url, page in rows:
+        own = ([], [])
+        before = walk(page or "", hashes=own)
+        pages.append((i, host_of(url), page or "", own[0] + own[1], before))
+        for key in pages[-1][3]:
+            seen[host_of(url), key].add(before)
+    return {i: (before, walk(page, frozenset(k for k in keys if len(seen[host, k]) >= least))) for i, host, page, keys, before in pages}
+
+
+@pytest.mark.parametrize("kind", ["given", "without articles", "boxes in articles"])
+def test_the_given_pages_are_the_plain_version_and_the_count_changes_some(spark, kind):
+    import os
+
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(path).collect()]
+    if kind == "without articles":
+        rows = [(i, url, page and page.replace("<article", "<div").replace("</article", "</div")) for i, url, page in rows]
+    if kind == "boxes in articles":
+        given, rows = rows, [(i, url, page and page.replace("</article>", "<div><p>Share this page</p></div></article>")) for i, url, page in rows]
+    want = _plain(rows)
+    assert _texts(spark, rows) == {i: after for i, (_, after) in want.items()}
+    if kind != "given":  # the given pages have templates only where tags say so
+        assert sum(before != after for before, after in want.values()) > 0
+    if kind == "boxes in articles":
+        plain = {i: walk(page or "") for i, _, page in given}
+        assert sum(want[i][1] == plain[i] for i in plain) > 0.7 * len(plain)  # hosts of ten pages and more
+
+
+def test_without_marks_the_count_alone_finds_the_template(spark):
+    """No tag, class or role says what is what."""
+    rows = [(i, f"https://a.org/{i}", f"<div><div><p>Home</p><p>About</p></div><div><p>Text {i} one</p><div>Share this</div><p>Text {i} two</p></div><div>All rights</div></div>") for i in range(20)]
+    assert _texts(spark, rows) == {i: f"Text {i} one Text {i} two" for i in range(20)}
+    assert [walk(page) for _, _, page in rows[:1]] == ["Home About Text 0 one Share this Text 0 two All rights"]
