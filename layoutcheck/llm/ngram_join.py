@@ -26,8 +26,8 @@ from layoutcheck.llm.substring import _read, _write
 N = 3
 #: Similarity in hundredths.
 THRESHOLD = 90
-#: The frequency sketch: rows of cells, as many as the n-grams call for, from 4 to 64 MB; each slice of cells has its owner.
-SKETCH_ROWS, LEAST_BITS, MOST_BITS, SLICE_BITS = 2, 19, 23, 16
+#: The frequency sketch: rows of cells, as many as the n-grams call for, from 4 to 32 MB; each slice of cells has its owner.
+SKETCH_ROWS, LEAST_BITS, MOST_BITS, SLICE_BITS = 2, 19, 22, 16
 #: Longest match that a document may ask for, and what verifying a candidate costs, in postings.
 MOST_MATCHES, VERIFY = 4, 16.0
 #: log2 of the bits of the map of documents whose sets are needed: eight for each document, from 128 KB to 64 MB.
@@ -271,20 +271,20 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD,
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _log2(size / 6, LEAST_BITS, MOST_BITS)  # about a cell for each word
+    bits = _log2(size / 96, LEAST_BITS, MOST_BITS)  # about a cell for 16 words, until the sketch is full
     first = scratch.keep(docs.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(task(_counter(n, bits)), "kind int, doc_id long, mark long, n long, class long, slice int, blob binary"), "first")
     ids = first.where("kind = 0").select("doc_id", "mark", "n", "class")
-    sketch = np.zeros((SKETCH_ROWS << bits - SLICE_BITS, 1 << SLICE_BITS), np.float32)
+    sketch = bytearray(SKETCH_ROWS << bits + 2)  # 32 MB at most
+    cells = np.frombuffer(sketch, np.float32).reshape(-1, 1 << SLICE_BITS)
     for i, blob in first.where("kind = 1").select("slice", "blob").repartition(partitions(spark), "slice").mapInArrow(_adder, "slice int, blob binary").toLocalIterator():
-        sketch[i] = np.frombuffer(blob, np.float32)  # 64 MB in all, at most
+        cells[i] = np.frombuffer(blob, np.float32)
     documents, elements = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = int(max(partitions(spark), elements * 25 * (100 - threshold) // 100 // BUCKET_BYTES))
-    shared = spark.sparkContext.broadcast(sketch.tobytes())
-    del sketch
-
+    shared = spark.sparkContext.broadcast(sketch)
     posted = docs.mapInArrow(task(_poster(n, threshold, shared, documents, buckets)), "bucket int, blob binary")
     lists = scratch.keep(posted.groupBy("bucket").applyInArrow(_lister, "token long, class long, n long, at int, ask int"), "lists")
-    shared.unpersist()
+    shared.destroy()
+    del shared, sketch, cells, posted
     ids_of_some = ids.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     verify = _Verify(docs, ids_of_some, scratch, n, threshold, _log2(8 * documents, LEAST_NEEDED, MOST_NEEDED))
 

@@ -253,11 +253,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sent = rows.mapInArrow(task(_sketcher(k, bits)), "slice int, once binary, twice binary")
     slices = sent.repartition(partitions(spark), "slice").mapInArrow(_merger, "slice int, bits binary")
-    merged = np.zeros((sketch.ROWS << bits - sketch.SLICE, 1 << sketch.SLICE - 3), np.uint8)
-    for i, b in slices.toLocalIterator(prefetchPartitions=False):  # at most sketch_bytes in all
-        merged[i] = np.frombuffer(b, np.uint8)
-    shared = spark.sparkContext.broadcast(merged.tobytes())
-    del merged
+    merged = bytearray(sketch.ROWS << bits - 3)  # at most sketch_bytes
+    filled = np.frombuffer(merged, np.uint8).reshape(-1, 1 << sketch.SLICE - 3)
+    for i, b in slices.toLocalIterator(prefetchPartitions=False):
+        filled[i] = np.frombuffer(b, np.uint8)
+    shared = spark.sparkContext.broadcast(merged)
+    del merged, filled
 
     keyed = rows.mapInArrow(task(_sender(k, bits, shared, buckets)), _SENT)
     found = keyed.groupBy("bucket").applyInArrow(_grouper(buckets), _SENT)
