@@ -32,14 +32,14 @@ def _way(edges: DataFrame, sides: Sequence[str], orientation: str) -> DataFrame:
     return edges.where(F.col("side").isin(*wanted)).withColumn("way", g.upright(F.col("side")))
 
 
-def _non_top(layout: Layout, *layers: int) -> DataFrame:
-    polygons = layout.polygons.where(F.col("cell_id") != hierarchy.top_id(layout))
-    return polygons.where(F.col("layer").isin(*layers)) if layers else polygons
+def _edges(layout: Layout, layer: int, edges: DataFrame | None) -> DataFrame:
+    """Edges of a layer, out of those that are there already."""
+    return (hierarchy.edges(layout.polygons) if edges is None else edges).where(F.col("layer") == layer)
 
 
-def _within_cells(layout: Layout, layer: int, t: int, first: Sequence[str], second: Sequence[str], kind: str, orientation: str, same_polygon: bool = False, tile: int = join.TILE) -> DataFrame:
+def _within_cells(layout: Layout, layer: int, t: int, first: Sequence[str], second: Sequence[str], kind: str, orientation: str, same_polygon: bool = False, tile: int = join.TILE, edges: DataFrame | None = None) -> DataFrame:
     """Facing edges inside each cell definition but the top's, at each top-level reference."""
-    edges = hierarchy.edges(_non_top(layout, layer)).select("cell_id", "poly_id", "side", "p_start", "p_end", "intercept")
+    edges = _edges(layout, layer, edges).where(F.col("cell_id") != hierarchy.top_id(layout)).select("cell_id", "poly_id", "side", "p_start", "p_end", "intercept")
     apart = F.col("a_poly_id") == F.col("b_poly_id") if same_polygon else None
     found = join.facing_edges(_way(edges, first, orientation), _way(edges, second, orientation), t, ("cell_id", "way"), tile, apart)
     cells = _result(found, kind, cell_id="a_cell_id", poly_id="a_poly_id")
@@ -47,30 +47,30 @@ def _within_cells(layout: Layout, layer: int, t: int, first: Sequence[str], seco
     return placed.withColumn("ref1", F.col("ref_id")).withColumn("ref2", F.col("ref_id")).select(*COLUMNS)
 
 
-def space_inter(layout: Layout, layers: Sequence[int], t: int, orientation: str = "both", tile: int = join.TILE) -> DataFrame:
+def space_inter(layout: Layout, layers: Sequence[int], t: int, orientation: str = "both", tile: int = join.TILE, edges: DataFrame | None = None) -> DataFrame:
     """Between edges of different references: lower over upper, left over right."""
-    edges = hierarchy.ref_edges(layout, layers[0]).select("ref_id", "side", "p_start", "p_end", "intercept")
+    edges = hierarchy.move_edges(_edges(layout, layers[0], edges), hierarchy.top_refs(layout)).select("ref_id", "side", "p_start", "p_end", "intercept")
     found = join.facing_edges(_way(edges, ("D", "L"), orientation), _way(edges, ("U", "R"), orientation), t, ("way",), tile, F.col("a_ref_id") != F.col("b_ref_id"))
     return _result(found, "spacing", ref1="a_ref_id", ref2="b_ref_id")
 
 
-def space_intra(layout: Layout, layers: Sequence[int], t: int, orientation: str = "both", tile: int = join.TILE) -> DataFrame:
+def space_intra(layout: Layout, layers: Sequence[int], t: int, orientation: str = "both", tile: int = join.TILE, edges: DataFrame | None = None) -> DataFrame:
     """Between edges of one cell, notches of a polygon included."""
-    return _within_cells(layout, layers[0], t, ("D", "L"), ("U", "R"), "spacing", orientation, tile=tile)
+    return _within_cells(layout, layers[0], t, ("D", "L"), ("U", "R"), "spacing", orientation, tile=tile, edges=edges)
 
 
-def space_check(layout: Layout, layers: Sequence[int], t: int, orientation: str = "both", tile: int = join.TILE) -> DataFrame:
+def space_check(layout: Layout, layers: Sequence[int], t: int, orientation: str = "both", tile: int = join.TILE, edges: DataFrame | None = None) -> DataFrame:
     """Spacing below t on the first of the layers. orientation: both, h (horizontal edges) or v.
 
     Further layers only widen the set of cells looked at, and cells without the
     first layer have no edges to compare.
     """
-    return space_inter(layout, layers, t, orientation, tile).unionByName(space_intra(layout, layers, t, orientation, tile))
+    return space_inter(layout, layers, t, orientation, tile, edges).unionByName(space_intra(layout, layers, t, orientation, tile, edges))
 
 
-def width_check(layout: Layout, layer: int, t: int, orientation: str = "both", same_polygon: bool = False, tile: int = join.TILE) -> DataFrame:
+def width_check(layout: Layout, layer: int, t: int, orientation: str = "both", same_polygon: bool = False, tile: int = join.TILE, edges: DataFrame | None = None) -> DataFrame:
     """Upper over lower and right over left edges closer than t, over all polygons of a cell or those of one polygon."""
-    return _within_cells(layout, layer, t, ("U", "R"), ("D", "L"), "width", orientation, same_polygon, tile)
+    return _within_cells(layout, layer, t, ("U", "R"), ("D", "L"), "width", orientation, same_polygon, tile, edges)
 
 
 def enclosure_sides(layout: Layout, metal: int, via: int) -> tuple[DataFrame, DataFrame]:
@@ -87,22 +87,26 @@ def enclosure_candidates(layout: Layout, metal: int, via: int, t: int) -> DataFr
     return found.select(F.col("a_ref_id").alias("via_ref"), F.col("b_ref_id").alias("metal_ref"))
 
 
-def enclosure_check(layout: Layout, metal: int, via: int, t: int, tile: int = join.TILE) -> DataFrame:
+def enclosure_check(layout: Layout, metal: int, via: int, t: int, tile: int = join.TILE, edges: DataFrame | None = None) -> DataFrame:
     """Margins of metal around via that are short: above 0 and below t, on any side.
 
     This is no test of being enclosed: flush and protruding sides and vias
     without metal are not reported, and metal beside the via may be.
     """
-    metals, vias = enclosure_sides(layout, metal, via)
-    edges = lambda layer, refs: hierarchy.ref_edges(layout, layer).join(refs.select("ref_id", *g.BOX), "ref_id").select("ref_id", "side", "p_start", "p_end", "intercept", *g.BOX)
-    m, v = edges(metal, metals), edges(via, vias)
-    above, below = F.col("side").isin("U", "R"), F.col("side").isin("D", "L")
-    first = m.where(above).union(v.where(below))
-    second = v.where(above).union(m.where(below))
-    a, b = g.box_columns("a_"), g.box_columns("b_")
-    via_first = F.col("a_side").isin("D", "L")
-    near = F.when(via_first, g.mbr_touch(a, b, t - 1)).otherwise(g.mbr_touch(b, a, t - 1))
-    return _result(join.facing_edges(first, second, t, ("side",), tile, near), "enclosure", ref1="a_ref_id", ref2="b_ref_id")
+    refs = hierarchy.top_refs(layout)
+    pairs = enclosure_candidates(layout, metal, via, t)
+    of = lambda layer, prefix: hierarchy.move_edges(_edges(layout, layer, edges), refs).select(*(F.col(c).alias(f"{prefix}{c}") for c in ("ref_id", "side", "p_start", "p_end", "intercept")))
+    # few pairs of references are near each other; their edges meet by reference, side and band of t intercepts
+    band = join.tile_of(F.col("m_intercept"), t)
+    metals = of(metal, "m_").withColumn("m_band", F.explode(F.array(band - 1, band, band + 1)))
+    vias = of(via, "v_").withColumn("v_band", join.tile_of(F.col("v_intercept"), t))
+    both = (F.col("via_ref") == F.col("v_ref_id")) & (F.col("m_side") == F.col("v_side")) & (F.col("m_band") == F.col("v_band"))
+    met = pairs.join(metals, F.col("metal_ref") == F.col("m_ref_id")).join(vias, both)
+    metal_first = F.col("m_side").isin("U", "R")
+    sides = [(a, b, F.when(metal_first, F.col(f"m_{c}")).otherwise(F.col(f"v_{c}")), F.when(metal_first, F.col(f"v_{c}")).otherwise(F.col(f"m_{c}"))) for c in ("ref_id", "side", "p_start", "p_end", "intercept") for a, b in [(f"a_{c}", f"b_{c}")]]
+    found = met.select(*(one.alias(a) for a, _, one, _ in sides), *(two.alias(b) for _, b, _, two in sides))
+    close = g.faces(F.col("a_intercept"), F.col("b_intercept"), F.col("a_p_start"), F.col("a_p_end"), F.col("b_p_start"), F.col("b_p_end"), t)
+    return _result(found.where(close), "enclosure", ref1="a_ref_id", ref2="b_ref_id")
 
 
 def area_check(layout: Layout, layer: int | None, t: int) -> DataFrame:

@@ -20,10 +20,22 @@ RANGES = 1024
 
 
 def _ranged(df: DataFrame, by: Column, ranges: int = RANGES) -> DataFrame:
-    """df with ``__range``, which ascends with ``by``; equal values share one."""
-    low, high = df.agg(F.min(by), F.max(by)).first()
-    width = max(1, -(-(int(high) - int(low) + 1) // ranges)) if low is not None else 1
-    return df.withColumn("__range", F.floor((by - F.lit(int(low or 0))) / width))
+    """df with ``__range``, which ascends with ``by``; equal values share one.
+
+    The cuts are quantiles, so that a far value does not push all others into one range.
+    """
+    shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))  # as text, for a literal apiece is a call apiece
+    cuts = df.select(by.cast("long").alias("__by")).agg(F.expr(f"percentile_approx(__by, array({shares}), {4 * ranges})")).first()[0]
+    cuts = sorted(set(cuts or ()))
+    if not cuts:
+        return df.withColumn("__range", F.lit(0))
+    step = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    longs = lambda values: "array(" + ", ".join(f"{v}L" for v in values) + ")"
+    reached = lambda values: F.size(F.filter(values, lambda c: c <= by))
+    group = F.greatest(reached(F.expr(longs([own[0] for own in groups]))), F.lit(1))
+    inside = F.element_at(F.expr(f"array({', '.join(map(longs, groups))})"), F.col("__group"))
+    return df.withColumn("__group", group).withColumn("__range", (F.col("__group") - 1) * step + reached(inside)).drop("__group")
 
 
 def _carry(df: DataFrame, value: Column, fold, start) -> DataFrame:
@@ -80,7 +92,7 @@ def coalesce_intervals(intervals: DataFrame) -> DataFrame:
 
     Intervals that share a point are one group, chains of them too.
     """
-    df = _ranged(intervals, F.col("l")).persist()
+    df = _ranged(intervals, F.col("l"))
     reach = F.broadcast(_carry(df, F.col("r"), F.max, -(1 << 62)))
     earlier = Window.partitionBy("__range").orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1)
     met = df.join(reach, "__range").withColumn("__reach", F.greatest("__before", F.coalesce(F.max("r").over(earlier), F.col("__before")))).drop("__before")

@@ -94,8 +94,12 @@ _IDS = f"{_NO} AS cell_id, {_NO} AS poly_id"
 
 
 def _inter_sql(orientation: str, t: int = T) -> str:
+    """Edges meet on the side that they face and on bands of t intercepts: an edge's own band and the one below hold all its partners."""
+    way = {"h": ["('D', 'U')"], "v": ["('L', 'R')"], "both": ["('D', 'U')", "('L', 'R')"]}[orientation]
+    band = f"CAST(floor(intercept / {t}.0) AS BIGINT)"
     return f"""SELECT 'spacing' AS kind, {_points('a', 'e1')}, {_points('b', 'e2')}, {_IDS}, a.ref_id AS ref1, b.ref_id AS ref2
-  FROM redges a JOIN redges b ON a.layer = {METAL} AND b.layer = {METAL} AND a.ref_id <> b.ref_id AND ({_way(('D', 'L'), ('U', 'R'), orientation)}) AND {_faces(t)}"""
+  FROM (SELECT *, unnest([{band}, {band} - 1]) AS band FROM redges JOIN (VALUES {', '.join(way)}) w(side, faced) USING (side) WHERE layer = {METAL}) a
+  JOIN (SELECT *, {band} AS band FROM redges WHERE layer = {METAL}) b ON a.faced = b.side AND a.band = b.band AND a.ref_id <> b.ref_id AND {_faces(t)}"""
 
 
 def _within_sql(kind: str, first, second, orientation: str, t: int = T, layer: int = METAL) -> str:
@@ -245,7 +249,11 @@ def _slanted(layout: Layout) -> DataFrame:
     return layout.polygons.withColumn("pts", cut)
 
 
-@query(f"""SELECT 'rectilinear' AS kind, {_NO_EDGES}, CAST(cell_id AS BIGINT) AS cell_id, poly_id, {_NO} AS ref1, {_NO} AS ref2 FROM polygons WHERE poly_id % 7 = 0""")
+_RECTILINEAR_SQL = f"""SELECT 'rectilinear' AS kind, {_NO_EDGES}, CAST(cell_id AS BIGINT) AS cell_id, poly_id, {_NO} AS ref1, {_NO} AS ref2
+  FROM (SELECT *, unnest(range(1, len(pts))) AS j FROM polygons) WHERE pts[j].x <> pts[j + 1].x AND pts[j].y <> pts[j + 1].y GROUP BY ALL"""
+
+
+@query(_RECTILINEAR_SQL.replace("FROM polygons)", "FROM (SELECT * EXCLUDE pts, CASE WHEN poly_id % 7 = 0 THEN list_concat(pts[1:1], pts[3:]) ELSE pts END AS pts FROM polygons))"))
 def is_rectilinear(spark, sf_dir):
     layout = _flat(spark, sf_dir)
     return checks.rectilinear_check(Layout(layout.cells, _slanted(layout), layout.refs, top=layout.top))
@@ -301,7 +309,7 @@ def _corners(spark, sf_dir):
 
 @query("""SELECT cell_id, x_min < 40 AND y_min < 6 AS low_less, x_min <= 3 AND y_min <= 3 AS low_le, x_max > 300 AND y_max > 200 AS high_more,
   x_min = 0 AND y_min = 0 AS low_zero FROM cell_mbr""")
-def point_dominance_all(spark, sf_dir):
+def point_dominance(spark, sf_dir):
     at = lambda x, y: F.array(F.lit(x).cast("long"), F.lit(y).cast("long"))
     return _corners(spark, sf_dir).select(
         "cell_id",
@@ -313,33 +321,17 @@ def point_dominance_all(spark, sf_dir):
 
 
 @query("SELECT cell_id, x_min + x_max AS x, y_min + y_max AS y FROM cell_mbr")
-def point_add_all(spark, sf_dir):
+def point_add(spark, sf_dir):
     total = g.point_add(F.col("low"), F.col("high"))
     return _corners(spark, sf_dir).select("cell_id", g.x(total).alias("x"), g.y(total).alias("y"))
 
 
 @query("SELECT cell_id, x_min < 150 AND 50 < x_max AND y_min < 120 AND 60 < y_max AS hit FROM cell_mbr")
-def box_overlap_corners_all(spark, sf_dir):
+def box_overlap_corners(spark, sf_dir):
     at = lambda x, y: F.array(F.lit(x).cast("long"), F.lit(y).cast("long"))
     return _corners(spark, sf_dir).select("cell_id", g.boxes_overlap(F.col("low"), F.col("high"), at(50, 60), at(150, 120)).alias("hit"))
 
 
-@query("""SELECT cell_id, x_min < 40 AND y_min < 6 AS low_less, x_min <= 3 AND y_min <= 3 AS low_le, x_max > 300 AND y_max > 200 AS high_more,
-  x_min = 0 AND y_min = 0 AS low_zero FROM cell_mbr WHERE cell_id < 1000000""")
-def point_dominance(spark, sf_dir):
-    return point_dominance_all(spark, sf_dir).where("cell_id < 1000000")
-
-
-@query("SELECT cell_id, x_min + x_max AS x, y_min + y_max AS y FROM cell_mbr WHERE cell_id < 1000000")
-def point_add(spark, sf_dir):
-    return point_add_all(spark, sf_dir).where("cell_id < 1000000")
-
-
-@query("SELECT cell_id, x_min < 150 AND 50 < x_max AND y_min < 120 AND 60 < y_max AS hit FROM cell_mbr WHERE cell_id < 1000000")
-def box_overlap_corners(spark, sf_dir):
-    return box_overlap_corners_all(spark, sf_dir).where("cell_id < 1000000")
-
-
 @query("""SELECT a.ref_id AS a_ref, b.ref_id AS b_ref FROM ref_mbr a JOIN ref_mbr b ON a.ref_id < b.ref_id
   AND a.x_min < b.x_max AND b.x_min < a.x_max AND a.y_min < b.y_max AND b.y_min < a.y_max""")
 def box_overlap_pairs(spark, sf_dir):
@@ -453,6 +445,7 @@ DECK = (
     rules.layer(METAL).area().greater_than(900),
     rules.layer(20).spacing("h").greater_than(T),
     rules.polygons().area().greater_than(700),
+    rules.polygons().is_rectilinear(),
 )
 _DECK_SQL = (
     f"{_inter_sql('both')} UNION ALL {_intra_sql()}",
@@ -460,18 +453,19 @@ _DECK_SQL = (
     _enclosure_sql(),
     _area_sql(f"layer = {METAL}"),
     f"{_inter_sql('h')} UNION ALL {_intra_sql('h')}".replace(f"layer = {METAL}", "layer = 20"),
-    _area_sql("true", 700),
+    _area_sql("true", 700).replace("FROM polygons", "FROM (SELECT * FROM polygons UNION ALL SELECT poly_id, poly_id, 21, pts FROM vias)"),
+    _RECTILINEAR_SQL,
 )
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS rule_id, q.* FROM ({sql}) q" for i, sql in enumerate(_DECK_SQL[:4])))
+@query(" UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS rule_id, q.* FROM ({sql}) q" for i, sql in enumerate(_DECK_SQL)))
 def rule_deck(spark, sf_dir):
-    return rules.run_deck(_layout(spark, sf_dir), DECK[:4])
+    return rules.run_deck(_layout(spark, sf_dir), DECK)
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS rule_id, kind, count(*) AS n FROM ({sql}) q GROUP BY kind" for i, sql in enumerate(_DECK_SQL[:5])))
+@query(" UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS rule_id, kind, count(*) AS n FROM ({sql}) q GROUP BY kind" for i, sql in enumerate(_DECK_SQL)))
 def violation_counts_by_rule(spark, sf_dir):
-    return rules.counts_by_rule(rules.run_deck(_layout(spark, sf_dir), DECK[:5]))
+    return rules.counts_by_rule(rules.run_deck(_layout(spark, sf_dir), DECK))
 
 
 # -- rows, sweeps, intervals -----------------------------------------------
@@ -493,69 +487,66 @@ def row_partition_two_layers(spark, sf_dir):
     return partition.rows(_layout(spark, sf_dir), [20, VIA], T)
 
 
-def _intervals(spark, sf_dir, keep: int):
+def _intervals(spark, sf_dir):
     """(k, l, r): the days between an order and the shipping of each of its items."""
     orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("l"))
     items = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.unix_date(F.col("l_shipdate").cast("date")).cast("long").alias("r"))
-    return orders.join(items, "k").where((F.col("l") <= F.col("r")) & (F.col("k") % keep == 0)).select("k", "l", "r")
+    return orders.join(items, "k").where(F.col("l") <= F.col("r")).select("k", "l", "r")
 
 
+def _day(c: str) -> str:
+    return f"CAST(date_diff('day', DATE '1970-01-01', CAST({c} AS DATE)) AS BIGINT)"
 
-def _intervals_sql(keep: int) -> str:
-    day = lambda c: f"CAST(date_diff('day', DATE '1970-01-01', CAST({c} AS DATE)) AS BIGINT)"
-    return f"""(SELECT k, l, r FROM (SELECT o_orderkey AS k, {day('o_orderdate')} AS l, {day('l_shipdate')} AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE l <= r AND k % {keep} = 0)"""
 
+_INTERVALS = f"""(SELECT k, l, r FROM (SELECT o_orderkey AS k, {_day('o_orderdate')} AS l, {_day('l_shipdate')} AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE l <= r)"""
+_MONTHS = "(SELECT CAST(m AS BIGINT) AS m, CAST(m * 30 + 8000 AS BIGINT) AS l, CAST(m * 30 + 8002 AS BIGINT) AS r FROM range(0, 100) t(m))"
 
-@query(f"SELECT a.k AS a_k, b.k AS b_k, a.l AS a_l, a.r AS a_r, b.l AS b_l, b.r AS b_r FROM {_intervals_sql(97)} a JOIN {_intervals_sql(89)} b ON a.l <= b.r AND b.l <= a.r", layout=False)
+
+@query(f"SELECT m.m, count(*) AS n, CAST(sum(i.k) AS BIGINT) AS sum_k, CAST(sum(i.l) AS BIGINT) AS sum_l, CAST(sum(i.r) AS BIGINT) AS sum_r FROM {_MONTHS} m JOIN {_INTERVALS} i ON m.l <= i.r AND i.l <= m.r GROUP BY ALL", layout=False)
 def interval_overlap_join(spark, sf_dir):
-    return join.interval_overlap(_intervals(spark, sf_dir, 97), _intervals(spark, sf_dir, 89), tile=64)
+    """Every interval with each of 100 spans of three days that it meets, summed up by span."""
+    spans = spark.range(100).select(F.col("id").alias("m"), (F.col("id") * 30 + 8000).alias("l"), (F.col("id") * 30 + 8002).alias("r"))
+    met = join.interval_overlap(spans, _intervals(spark, sf_dir), tile=64)
+    return met.groupBy(F.col("a_m").alias("m")).agg(F.count("*").alias("n"), *(F.sum(f"b_{c}").alias(f"sum_{c}") for c in "klr"))
 
 
-@query(f"SELECT i.k, i.l, i.r, o.o_orderkey AS point FROM {_intervals_sql(97)} i JOIN (SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS p FROM orders WHERE o_orderkey % 53 = 0) o ON i.l <= o.p AND o.p <= i.r", layout=False)
+@query(f"SELECT m.m, m.l AS p, count(*) AS n, CAST(sum(i.r - i.l) AS BIGINT) AS days FROM {_MONTHS} m JOIN {_INTERVALS} i ON i.l <= m.l AND m.l <= i.r GROUP BY ALL", layout=False)
 def interval_stabbing(spark, sf_dir):
-    points = _read(spark, sf_dir, "orders").where("o_orderkey % 53 = 0").select(F.col("o_orderkey").alias("point"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("p"))
-    found = join.stabbing(_intervals(spark, sf_dir, 97), points, tile=64)
-    return found.select(F.col("a_k").alias("k"), F.col("a_l").alias("l"), F.col("a_r").alias("r"), F.col("b_point").alias("point"))
+    """Every interval that holds a point, for a point a month, summed up by point."""
+    points = spark.range(100).select(F.col("id").alias("m"), (F.col("id") * 30 + 8000).alias("p"))
+    found = join.stabbing(_intervals(spark, sf_dir), points, tile=64)
+    return found.groupBy(F.col("b_m").alias("m"), F.col("b_p").alias("p")).agg(F.count("*").alias("n"), F.sum(F.col("a_r") - F.col("a_l")).alias("days"))
 
 
-@query(f"SELECT a.k, a.l, a.r, CAST(a.copies AS BIGINT) AS copies, count(*) AS n FROM (SELECT k, l, r, count(*) AS copies FROM {_intervals_sql(1)} GROUP BY ALL) a JOIN {_intervals_sql(1)} b ON a.l <= b.r AND b.l <= a.r GROUP BY ALL", layout=False)
+@query(f"SELECT a.k, a.l, a.r, CAST(a.copies AS BIGINT) AS copies, count(*) AS n FROM (SELECT k, l, r, count(*) AS copies FROM {_INTERVALS} GROUP BY ALL) a JOIN {_INTERVALS} b ON a.l <= b.r AND b.l <= a.r GROUP BY ALL", layout=False)
 def interval_overlap_counts(spark, sf_dir):
     """The join of all intervals with all, summed up by interval."""
-    every = _intervals(spark, sf_dir, 1)
+    every = _intervals(spark, sf_dir)
     return join.overlap_counts(every.groupBy("k", "l", "r").agg(F.count("*").alias("copies")), every)
 
 
-@query(f"SELECT i.k, i.l, i.r, CAST(i.copies AS BIGINT) AS copies, count(*) AS n FROM (SELECT k, l, r, count(*) AS copies FROM {_intervals_sql(1)} GROUP BY ALL) i JOIN (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS p FROM orders) o ON i.l <= o.p AND o.p <= i.r GROUP BY ALL", layout=False)
+@query(f"SELECT i.k, i.l, i.r, CAST(i.copies AS BIGINT) AS copies, count(*) AS n FROM (SELECT k, l, r, count(*) AS copies FROM {_INTERVALS} GROUP BY ALL) i JOIN (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS p FROM orders) o ON i.l <= o.p AND o.p <= i.r GROUP BY ALL", layout=False)
 def interval_stabbing_counts(spark, sf_dir):
     """All orders as points in all intervals, summed up by interval."""
     day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
-    every = _intervals(spark, sf_dir, 1).groupBy("k", "l", "r").agg(F.count("*").alias("copies"))
+    every = _intervals(spark, sf_dir).groupBy("k", "l", "r").agg(F.count("*").alias("copies"))
     return join.overlap_counts(every, _read(spark, sf_dir, "orders").select(day.alias("l"), day.alias("r")))
 
 
 @query(f"""SELECT row_id, count(*) AS n, min(l) AS l, max(r) AS r FROM (
   SELECT l, r, CAST(sum(fresh) OVER (ORDER BY l, r, k ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS row_id FROM (
     SELECT k, l, r, CASE WHEN l > coalesce(max(r) OVER (ORDER BY l, r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l - 1) THEN 1 ELSE 0 END AS fresh
-    FROM (SELECT k, l + k // 32 * 4000 AS l, r + k // 32 * 4000 AS r FROM {_intervals_sql(1)}))) GROUP BY row_id""", layout=False)
-def interval_coalesce_all(spark, sf_dir):
+    FROM (SELECT k, l + k // 32 * 4000 AS l, r + k // 32 * 4000 AS r FROM {_INTERVALS}))) GROUP BY row_id""", layout=False)
+def interval_coalesce(spark, sf_dir):
     """Every interval; each group of 32 order keys has days of its own, so there are gaps."""
-    moved = _intervals(spark, sf_dir, 1).selectExpr("k", "l + k div 32 * 4000 AS l", "r + k div 32 * 4000 AS r")
+    moved = _intervals(spark, sf_dir).selectExpr("k", "l + k div 32 * 4000 AS l", "r + k div 32 * 4000 AS r")
     return partition.coalesce_intervals(moved).groupBy("row_id").agg(F.count("*").alias("n"), F.min("l").alias("l"), F.max("r").alias("r"))
 
 
-@query(f"""SELECT row_id, count(*) AS n, min(l) AS l, max(r) AS r FROM (
-  SELECT l, r, CAST(sum(fresh) OVER (ORDER BY l, r, k ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS row_id FROM (
-    SELECT k, l, r, CASE WHEN l > coalesce(max(r) OVER (ORDER BY l, r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l - 1) THEN 1 ELSE 0 END AS fresh
-    FROM (SELECT k, l * 40 AS l, r * 40 - 60 * (r - l) AS r FROM {_intervals_sql(1)} WHERE r - l < 2))) GROUP BY row_id""", layout=False)
-def interval_coalesce(spark, sf_dir):
-    short = _intervals(spark, sf_dir, 1).where("r - l < 2").selectExpr("k", "l * 40 AS l", "r * 40 - 60 * (r - l) AS r")
-    return partition.coalesce_intervals(short).groupBy("row_id").agg(F.count("*").alias("n"), F.min("l").alias("l"), F.max("r").alias("r"))
-
-
 @query(f"""SELECT p AS "at", CAST(sum(d) OVER (ORDER BY p) AS BIGINT) AS n_active FROM (
-  SELECT p, sum(d) AS d FROM (SELECT l AS p, 1 AS d FROM {_intervals_sql(1)} UNION ALL SELECT r + 1, -1 FROM {_intervals_sql(1)}) GROUP BY p)""", layout=False)
+  SELECT p, sum(d) AS d FROM (SELECT l AS p, 1 AS d FROM {_INTERVALS} UNION ALL SELECT r + 1, -1 FROM {_INTERVALS}) GROUP BY p)""", layout=False)
 def sweepline_active_count(spark, sf_dir):
-    return partition.active_count(_intervals(spark, sf_dir, 1))
+    return partition.active_count(_intervals(spark, sf_dir))
 
 
 def _events(spark, sf_dir):
@@ -647,21 +638,58 @@ def violation_lines(spark, sf_dir):
     return violations.lines(checks.space_inter(layout, [METAL], T).unionByName(checks.width_check(layout, METAL, T)))
 
 
+_DECODED = {0: "HEADER", 1: "BGNLIB", 2: "LIBNAME", 3: "UNITS", 4: "ENDLIB", 5: "BGNSTR", 6: "STRNAME", 7: "ENDSTR", 8: "BOUNDARY", 9: "PATH", 10: "SREF"}
+
+
 @query(
-    """SELECT CAST(k AS INTEGER) AS k, CASE k WHEN 0 THEN 'HEADER' WHEN 8 THEN 'BOUNDARY' WHEN 10 THEN 'SREF' WHEN 16 THEN 'XY' END AS name,
-  CAST(CASE WHEN k * 3000 >= 32768 THEN k * 3000 - 65536 ELSE k * 3000 END AS INTEGER) AS short, CAST(k * -70000 AS BIGINT) AS long,
-  CAST(k AS DOUBLE) / 16 AS real, k % 2 = 1 AS odd FROM range(0, 20) t(k) WHERE k IN (0, 8, 10, 16)""",
+    f"""SELECT k, name, text, CAST((k * 7919) % 65536 - CASE WHEN (k * 7919) % 65536 >= 32768 THEN 65536 ELSE 0 END AS INTEGER) AS short,
+  CAST((k * 70001) % 4294967296 - 2147483648 AS BIGINT) AS x, CAST(k - 1000 AS BIGINT) AS y, CASE WHEN k % 2 = 1 THEN -1.0 ELSE 1.0 END * CAST(k * 1000003 AS DOUBLE) * pow(CAST(16.0 AS DOUBLE), k % 5 - 14) AS real,
+  (k * 7919) % 65536 >= 32768 AS top_bit, CAST(1 AS INTEGER) AS n_points
+  FROM (SELECT CAST(p_partkey AS BIGINT) AS k, p_name AS text FROM part) LEFT JOIN (VALUES {', '.join(f"({k}, '{v}')" for k, v in _DECODED.items())}) t(code, name) ON code = k % 11""",
     layout=False,
 )
 def decode_scalars(spark, sf_dir):
-    rows = [(k, (k * 3000).to_bytes(2, "big"), (k * -70000).to_bytes(4, "big", signed=True), decode.encode_real64(k / 16)) for k in (0, 8, 10, 16)]
-    df = spark.createDataFrame([(k, bytearray(a), bytearray(b), bytearray(c)) for k, a, b, c in rows], "k int, a binary, b binary, c binary")
-    return df.select("k", decode.record_name(F.col("k")).alias("name"), decode.int16_col(F.col("a")).alias("short"), decode.int32_col(F.col("b")).alias("long"), decode.real64_col(F.col("c")).alias("real"), (F.col("k") % 2 == 1).alias("odd"))
+    """Payloads of all kinds made from each part, and decoded: numbers, points, bits, strings with a trailing NUL, names of records."""
+    k = F.col("k")
+    raw = lambda v, digits: F.unhex(F.lpad(F.hex(v), digits, "0"))
+    wrapped = lambda v: F.pmod(v, F.lit(1 << 32))
+    parts = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_name").alias("text"))
+    made = parts.select(
+        "k",
+        raw(k * 7919 % 65536, 4).alias("short"),
+        F.concat(raw(wrapped(k * 70001 - (1 << 31)), 8), raw(wrapped(k - 1000), 8)).alias("point"),
+        F.concat(raw(k % 2 * 128 + 64 + k % 5, 2), raw(k * 1000003, 14)).alias("real"),
+        F.concat(F.encode("text", "ISO-8859-1"), F.unhex(F.lit("00"))).alias("text"),
+    )
+    at = decode.point_col(F.col("point"))
+    return made.select(
+        "k",
+        decode.record_name((k % 11).cast("int")).alias("name"),
+        decode.string_col(F.col("text")).alias("text"),
+        decode.int16_col(F.col("short")).alias("short"),
+        at["x"].alias("x"),
+        at["y"].alias("y"),
+        decode.real64_col(F.col("real")).alias("real"),
+        decode.bit_col(F.col("short"), 15).alias("top_bit"),
+        decode.point_count_col(F.col("point")).alias("n_points"),
+    )
+
+
+_NAME = "CASE WHEN {0} = -1 THEN 'TOP' ELSE (SELECT s_name FROM supplier WHERE s_suppkey = {0}) END"
 
 
-@query("SELECT 'polygons' AS kind, count(*) AS n FROM polygons UNION ALL SELECT 'cells', (SELECT count(*) + 1 FROM supplier) UNION ALL SELECT 'refs', (SELECT count(*) FROM customer) UNION ALL SELECT 'width', (SELECT count(*) FROM (" + _width_sql() + "))")
+@query(f"""SELECT 'boundary' AS kind, {_NAME.format('cell_id')} AS cell, CAST(layer AS BIGINT) AS layer, array_to_string(list_transform(pts, lambda p: p.x || ',' || p.y), ' ') AS shape, count(*) AS n FROM polygons GROUP BY ALL
+  UNION ALL SELECT 'sref', {_NAME.format('k % n')}, NULL, rx || ',' || ry, count(*) FROM place, s GROUP BY ALL
+  UNION ALL SELECT 'cell', s_name, NULL, NULL, 1 FROM supplier UNION ALL SELECT 'cell', 'TOP', NULL, NULL, 1
+  UNION ALL SELECT 'width', NULL, NULL, NULL, (SELECT count(*) FROM ({_width_sql()}))""")
 def gdsii_roundtrip(spark, sf_dir):
-    """The layout written as one stream file and read again: its sizes, and a check over it."""
+    """The layout written as one stream file and read again: every corner, layer, name and offset, and a check over it."""
     back = gdsii.layout(gdsii.decode(gdsii.encode(_flat(spark, sf_dir))).persist())
-    n = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")).select("kind", "n")
-    return n(back.polygons, "polygons").union(n(back.cells, "cells")).union(n(back.refs, "refs")).union(n(checks.width_check(back, METAL, T), "width"))
+    named = back.cells.select("cell_id", F.col("cell_name").alias("cell"))
+    none, at = F.lit(None).cast("string"), F.array_join(F.transform("pts", lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    rows = lambda df, kind, *columns: df.groupBy(F.lit(kind).alias("kind"), *columns).agg(F.count("*").alias("n"))
+    shapes = rows(back.polygons.join(named, "cell_id"), "boundary", "cell", F.col("layer").cast("long").alias("layer"), at.alias("shape"))
+    refs = rows(back.refs.join(named, "cell_id"), "sref", "cell", F.lit(None).cast("long").alias("layer"), F.concat_ws(",", "rx", "ry").alias("shape"))
+    cells = rows(named, "cell", "cell", F.lit(None).cast("long").alias("layer"), none.alias("shape"))
+    found = checks.width_check(back, METAL, T).agg(F.lit("width").alias("kind"), F.first(none).alias("cell"), F.first(F.lit(None).cast("long")).alias("layer"), F.first(none).alias("shape"), F.count("*").alias("n"))
+    return shapes.union(refs).union(cells).union(found)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layoutcheck.errors import NotImplementedRule, RuleError
-from layoutcheck.operators import checks
+from layoutcheck.operators import checks, hierarchy
 from layoutcheck.sources.layout import Layout
 
 # The kinds of rules by number.
@@ -107,23 +107,29 @@ def verify(rule: Rule) -> Rule:
     return rule
 
 
-def run(layout: Layout, rule: Rule) -> DataFrame:
+def run(layout: Layout, rule: Rule, edges: DataFrame | None = None) -> DataFrame:
+    """The rule's violations. edges: those of the layout's polygons, if they are there already."""
     verify(rule)
     first = rule.layers[0] if rule.layers else None
     if rule.kind in _ORIENTATIONS:
-        return checks.space_check(layout, rule.layers, rule.minimum, _ORIENTATIONS[rule.kind])
+        return checks.space_check(layout, rule.layers, rule.minimum, _ORIENTATIONS[rule.kind], edges=edges)
     if rule.kind == "width":
-        return checks.width_check(layout, first, rule.minimum)
+        return checks.width_check(layout, first, rule.minimum, edges=edges)
     if rule.kind == "enclosure":
-        return checks.enclosure_check(layout, rule.layers[0], rule.layers[1], rule.minimum)
+        return checks.enclosure_check(layout, rule.layers[0], rule.layers[1], rule.minimum, edges=edges)
     if rule.kind == "area":
         return checks.area_check(layout, first, rule.minimum)
     return checks.rectilinear_check(layout, first)
 
 
 def run_deck(layout: Layout, deck: Sequence[Rule]) -> DataFrame:
-    """rule_id (from 0) and the violations of all rules, one plan."""
-    found = [run(layout, rule).select(F.lit(i).alias("rule_id"), *checks.COLUMNS) for i, rule in enumerate(rules(deck))]
+    """rule_id (from 0) and the violations of all rules, one plan.
+
+    Edges of the layers that rules compare are derived once and kept for all of them.
+    """
+    layers = sorted({n for rule in rules(deck) if rule.kind in _ORIENTATIONS or rule.kind in ("width", "enclosure") for n in rule.layers})
+    edges = hierarchy.edges(layout.polygons.where(F.col("layer").isin(*layers))).persist() if layers else None
+    found = [run(layout, rule, edges).select(F.lit(i).alias("rule_id"), *checks.COLUMNS) for i, rule in enumerate(rules(deck))]
     if not found:
         raise RuleError("an empty deck")
     out = found[0]

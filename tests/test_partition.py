@@ -69,3 +69,16 @@ def test_range_query_over_boxes(spark):
     assert spatial.query(boxes, 2, 3, 0, 2).count() == 0
     assert spatial.overlapping(boxes.union(boxes.select(F.col("k") + 10, F.col("x_min") + 1, F.col("x_max") + 1, "y_min", "y_max")), "k").count() == 3
     assert spatial.join(boxes, boxes).count() == 3
+
+
+def test_a_far_value_leaves_the_ranges_filled(spark):
+    from layoutcheck.operators import partition
+
+    rows = [(i, i // 2) for i in range(4000)] + [(4000, 10**12), (4001, -(10**12)), (4002, 7)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    ranged = partition._ranged(df, df["v"], 64).select("v", "__range").distinct().orderBy("v").collect()
+    found = [r["__range"] for r in ranged]
+    assert found == sorted(found) and len(set(found)) >= 32 and len(ranged) == 2002
+    index = {r["v"]: r["index"] for r in partition.compress(df, "v").collect()}
+    assert index == {v: i for i, v in enumerate(sorted({v for _, v in rows}))}
+    assert partition.compress(df.where("false"), "v").count() == 0
