@@ -6,14 +6,12 @@ words, and a bounded knapsack over the counts left fits those. Which documents
 of a length go in is decided by a seeded hash.
 """
 
-from itertools import cycle
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layoutcheck.llm.shared import Scratch, small_batches
+from layoutcheck.llm.shared import Scratch, partitions, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -28,16 +26,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST_TIMES) -> dict[str | None, float]:
-    """Shares of all words by weight, sources by code point and null last; none above ``most`` times its source's size."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
-    weight, left, done = dict(zip(order, cycle(weights))), set(order), {}
-    while left:
-        rest, total = sum(sizes.values()) - sum(done.values()), sum(weight[s] for s in left)
-        over = {s for s in left if rest * weight[s] / total > most * sizes[s]}
-        done |= {s: float(most * sizes[s]) if s in over else rest * weight[s] / total for s in (over or left)}
-        left -= over or left
-    return done
+def source_targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
+    """__skey, target of each source (__source, __skey, words): shares of all words by weight, none above ``most`` times its words.
+
+    Weights repeat over the sources by code point, null last. The driver holds
+    three sums: what is left to share, the weights that share it, and how many
+    sources have all they may get. A round gives the excess to the others; what
+    one unit of weight gets only grows, so it alone says who has enough.
+    """
+    by = F.col("__source").asc_nulls_last()
+    dealt = scratch.keep(sizes.repartitionByRange(partitions(sizes.sparkSession), by).withColumn("__part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    first = dealt.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(by)) + F.col("__first") - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int"))
+    known = scratch.keep(dealt.join(first, "__part").select("__skey", "words", weight.cast("long").alias("weight")), "weights")
+    rest, shared = known.agg(F.sum("words"), F.sum("weight")).first()
+    every, enough = rest, 0
+    fair = lambda: F.lit(float(rest or 0)) * F.col("weight") / F.lit(float(shared or 1))
+    while shared:
+        over = fair() > most * F.col("words")
+        n, full, others = known.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, most * F.col("words"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0))).first()
+        if n == enough:
+            break
+        enough, rest, shared = n, every - full, others
+    target = F.least(fair(), most * F.col("words").cast("double")) if shared else most * F.col("words").cast("double")
+    return known.select("__skey", target.alias("target"))
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNAPSACK) -> np.ndarray:
@@ -92,10 +106,10 @@ def mix_sources(docs: DataFrame, carry: list[str] | None = None, seed: int = 17,
 
     Null texts and texts without words have size 0 and are taken 0 words; a null
     source is a source of its own, the last; an empty table gives no rows.
-    Repeated rows are rows of their own; which of rows with one id, source and
-    length go in does not matter for the result. A clashing carried column is
-    replaced. Holds a number per source on the driver, and a count per length of
-    a source in a task.
+    Repeated rows are rows of their own. Rows of one id, source and length go in
+    by a hash of their text, so reruns agree. Texts of any length are counted
+    whole. A clashing carried column is replaced. The driver holds a few sums, a
+    task a count per length of a source.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -109,18 +123,18 @@ def mix_sources(docs: DataFrame, carry: list[str] | None = None, seed: int = 17,
         word_count(F.col(f"`{text_col}`")).alias("size"),
         F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).alias("__h"),
         F.col(f"`{id_col}`").alias("__id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("__text"),
     )
+    scratch = Scratch(spark, "mix")
     if text_col not in carry:
-        rows = Scratch(spark, "mix").keep(rows, "sizes")
+        rows = scratch.keep(rows, "sizes")
     rows = rows.withColumn("__range", F.shiftrightunsigned("__h", 64 - RANGES_BITS).cast("int"))
-    totals = {r[0]: r[1] for r in rows.groupBy("__source").agg(F.sum("size")).collect()}
-    want = targets(totals)
-    named = spark.createDataFrame([("n" if s is None else f"s{s}", t) for s, t in want.items()] or [("n", 0.0)], "__skey string, target double")
+    named = source_targets(rows.groupBy("__source", "__skey").agg(F.sum("size").alias("words")), scratch)
     lengths = rows.groupBy("__skey", "size").agg(F.count("*").alias("n")).join(named, "__skey")
     plan = lengths.groupBy("__skey").applyInPandas(_plan(MOST_TIMES), "__skey string, size long, source_size long, target double, times long, more long")
     before = Window.partitionBy("__skey", "size").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("__skey", "size", "__range").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count").join(plan, ["__skey", "size"])
-    nth = F.row_number().over(Window.partitionBy("__skey", "size", "__range").orderBy("__h", "__id"))
+    nth = F.row_number().over(Window.partitionBy("__skey", "size", "__range").orderBy("__h", "__id", "__text"))
     ranked = rows.withColumn("__nth", nth).join(ranges, ["__skey", "size", "__range"])
     times = F.col("times") + F.when(F.col("__before") + F.col("__nth") <= F.col("more"), 1).otherwise(0)
     return ranked.select(*(F.col(f"`{c}`") for c in carry), "size", "source_size", "target", times.cast("long").alias("times"), (F.col("size") * times).cast("long").alias("taken"))

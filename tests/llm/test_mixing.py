@@ -1,7 +1,11 @@
 import numpy as np
 import pytest
 
-from layoutcheck.llm.mixing import fit, mix_sources, targets
+from plain_mix import targets
+from pyspark.sql import functions as F
+
+from layoutcheck.llm.mixing import fit, mix_sources, source_targets
+from layoutcheck.llm.shared import Scratch
 
 
 def test_targets():
@@ -14,6 +18,27 @@ def test_targets():
     assert sum(targets({f"s{i}": 3**i for i in range(9)}).values()) == pytest.approx(sum(3**i for i in range(9)))
 
 
+def test_targets_of_tables(spark):
+    r = np.random.default_rng(4)
+    many = {f"{'aZé😀'[i % 4]}{i}": int(10 ** r.uniform(0, 6)) for i in range(300)} | {None: 50, "empty": 0}
+    for sizes in ({"a": 100, "b": 100, "c": 100, "d": 100}, {"a": 10, "b": 100, "c": 100, None: 0}, {"z": 5}, {None: 7, "": 7}, {f"s{i}": 3**i for i in range(9)}, {"x": 0}, many):
+        df = spark.createDataFrame([(s, "n" if s is None else f"s{s}", n) for s, n in sizes.items()], "__source string, __skey string, words long")
+        got = {r["__skey"]: r["target"] for r in source_targets(df, Scratch(spark, "test")).collect()}
+        assert got == pytest.approx({"n" if s is None else f"s{s}": t for s, t in targets(sizes).items()})
+    assert source_targets(df.where("false"), Scratch(spark, "test")).count() == 0
+
+
+def test_rows_that_differ_in_text_alone_go_in_alike_each_time(documents):
+    rows = [(1, f"{w} {w}") for w in "abcdefghij"] + [(2, "x " * 10)]
+    runs = [sorted((r["text"], r["times"]) for r in mix_sources(documents(some).withColumn("source", F.when(F.col("doc_id") == 1, "a").otherwise("b"))).collect()) for some in (rows, rows[::-1], rows[3:] + rows[:3])]
+    assert runs[0] == runs[1] == runs[2] and len({t for _, t in runs[0]}) > 1
+
+
+def test_a_very_long_text_counts_whole(documents):
+    got = mix_sources(documents([(1, "w " * 300_000), (2, "x")]), carry=["doc_id"]).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == {1: 300_000, 2: 1}
+
+
 def _best(lengths, counts, budget):
     reached = {0}
     for n, c in zip(lengths, counts):

@@ -8,7 +8,7 @@ from test_ngram_join import brute as near
 from test_substring import brute as repeats
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from layoutcheck.llm.mixing import targets  # noqa: E402
+from plain_mix import targets  # noqa: E402
 from layoutcheck.llm.packing import lengths  # noqa: E402
 
 
