@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layoutcheck.llm.shared import small_batches
+from layoutcheck.llm.shared import small_batches, task
 from layoutcheck.llm.words import mix
 
 #: Ranges of the hash inside a shard; each is numbered by itself.
@@ -46,14 +46,15 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     The integer id and the number of shards decide the shard. Slots count from
     0 in each shard, by a hash range, then id, checksum and size. A null id is
     dealt as the id 0, a null text has no bytes (size 1, checksum 0), rows of
-    one id share a shard, an empty table gives no rows. Only ids, sizes and
+    one id share a shard, repeated rows get a slot each, long texts count whole,
+    an empty table gives no rows. Only ids, sizes and
     checksums are shuffled; ranges keep a shard's numbering parallel.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("__key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    dealt = rows.mapInArrow(_dealer(shards), f"doc_id {kind}, __key long, size long, text_crc32 long, shard int, grown_shard int, range int").drop("__key")
+    dealt = rows.mapInArrow(task(_dealer(shards)), f"doc_id {kind}, __key long, size long, text_crc32 long, shard int, grown_shard int, range int").drop("__key")
     # shards * RANGES rows at most, whatever the input
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "range").count().select("shard", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
@@ -62,8 +63,16 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id") -> None:
-    """Writes whole rows as Parquet, a folder ``shard=N`` each."""
-    number = F.pandas_udf(lambda ids: __import__("pandas").Series(jump(mix(ids.fillna(0).astype("int64").to_numpy().astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), shards)), "long")
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes whole rows as Parquet, a folder ``shard=N`` each, into a path that must not exist.
+
+    Shards are those of ``assign_shards``: a null id is dealt as 0, rows of one
+    id and repeated rows share a shard, null and very long texts are written as
+    they are, an empty table makes no folder, a column named shard is replaced.
+    """
     small_batches(docs.sparkSession)
-    docs.withColumn("shard", number(F.col(id_col).cast("long"))).write.partitionBy("shard").parquet(path)
+    kept = [c for c in docs.columns if c not in ("shard", "grown_shard", "range", "__key", "text_crc32")]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{id_col}`").cast("long").alias("__key"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("text_crc32"))
+    schema = rows.schema.add("shard", "int").add("grown_shard", "int").add("range", "int")
+    dealt = rows.mapInArrow(task(_dealer(shards)), schema)
+    dealt.select(*(F.col(f"`{c}`") for c in kept), "shard").write.partitionBy("shard").parquet(path)
