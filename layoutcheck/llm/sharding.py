@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layoutcheck.llm.shared import small_batches, task
 from layoutcheck.llm.words import mix
@@ -73,6 +74,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("shard", "grown_shard", "range", "__key", "text_crc32")]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{id_col}`").cast("long").alias("__key"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("text_crc32"))
-    schema = rows.schema.add("shard", "integer").add("grown_shard", "integer").add("range", "integer")
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("shard", "grown_shard", "range"))])
     dealt = rows.mapInArrow(task(_dealer(shards)), schema)
     dealt.select(*(F.col(f"`{c}`") for c in kept), "shard").write.partitionBy("shard").parquet(path)
