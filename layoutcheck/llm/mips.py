@@ -6,10 +6,13 @@ blocks by descending length. A query whose length times a block's longest is
 below its k-th score so far is done there. For the others the leading rotated
 coordinates give a partial sum, and the lengths of what is left bound the rest;
 only pairs whose bound reaches the k-th score get an exact score. The longest
-vectors of all give each query a first k-th score.
+vectors of all give each query a first k-th score. Queries go in blocks, one
+after the other, each result written before the next block is sent; candidates
+that are too short for every query of a block are not read for it.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +143,13 @@ def _searcher(dim: int, k: int, axes: np.ndarray, sent):
     return run
 
 
+def least_length(best: _Best, q: Turned) -> float:
+    """The length below which no candidate reaches the k-th score so far of any of the queries."""
+    if not len(q.ids) or not q.norm.all():
+        return 0.0  # a query of no length scores 0 with everything
+    return max(0.0, float(((best.kth - 0.5) / q.norm).min()) * (1 - 1e-6))  # the rest is for rounding
+
+
 def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best; ties to the smaller vec_id.
 
@@ -156,15 +166,15 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     scratch = Scratch(spark, "inner-products")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where("id IS NOT NULL")
     clean = scratch.keep(rows.mapInArrow(_scaler(scale), _CLEAN), "clean")
-    found = None
-    for dim, number in clean.where("dim > 0").groupBy("dim").count().collect():  # one or a few lengths
+    found, schema = [], "query_id long, vec_id long, score long"
+    for (dim,) in clean.where("dim > 0").select("dim").distinct().collect():  # one or a few lengths
         own = clean.where(F.col("dim") == dim)
         (moments,) = own.select("v").mapInArrow(_moments(dim), "m binary").groupBy().applyInArrow(_adder, "m binary").first()
         axes = np.ascontiguousarray(np.linalg.eigh(np.frombuffer(moments, np.float64).reshape(dim, dim))[1][:, ::-1])
         ordered = scratch.keep(own.repartitionByRange(partitions(spark), F.desc("norm"), "id").sortWithinPartitions(F.desc("norm")).select("id", "v", "norm"), f"ordered-{dim}")
         head = own.orderBy(F.desc("norm"), "id").limit(HEAD).select("id", "v", "norm").toArrow()
         asked = scratch.keep(own.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), f"queries-{dim}")
-        blocks = max(1, -(-asked.count() // QUERIES))
+        blocks, asks = max(1, -(-asked.count() // QUERIES)), False
         for i in range(blocks):
             part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
             if not part.num_rows:
@@ -175,9 +185,15 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
             for low in range(0, len(c.ids), 128):
                 scan(best, q, c.part(slice(low, low + 128)))
             sent = spark.sparkContext.broadcast((ids_q, queries, best.kth))  # QUERIES vectors at most
-            one = ordered.mapInArrow(_searcher(dim, k, axes, sent), "query_id long, vec_id long, score long")
-            found = one if found is None else found.union(one)
-    if found is None:
+            long_enough = ordered.where(F.col("norm") >= least_length(best, q))  # files by falling length: the short ones are not read
+            scratch.keep(long_enough.mapInArrow(_searcher(dim, k, axes, sent), schema), f"found-{dim}/block={i}")
+            sent.destroy()  # its results are written
+            asks = True
+        if asks:
+            found.append(f"{scratch.root}/found-{dim}")
+        scratch.drop(f"ordered-{dim}", f"queries-{dim}")
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = reduce(DataFrame.union, [spark.read.schema(f"{schema}, block int").parquet(path) for path in found])
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
