@@ -11,7 +11,7 @@ the links.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layoutcheck.llm.graph import components
@@ -20,10 +20,12 @@ from layoutcheck.llm.shared import Scratch, partitions, small_batches
 COSINE = 0.9
 #: Leading principal directions that make up the grid.
 GRID_DIMS = 8
-#: Vectors in an interval that tasks compare, and in the smallest interval of the recursion.
-INTERVAL, LEAF = 4096, 128
-#: Intervals at most; beyond them, intervals get longer.
-MOST_INTERVALS = 4096
+#: Bytes of the vectors in an interval that tasks compare, and vectors in the smallest interval of the recursion.
+INTERVAL_BYTES, LEAF = 8 << 20, 128
+#: Intervals that a range of the sequence holds on average, and ranges at most; beyond them, ranges hold more intervals.
+RANGE, MOST_RANGES = 4, 4096
+#: Intervals whose boxes make up one box of the level above.
+FANOUT = 16
 #: Slack for rounding in a rotated distance.
 SLACK = 1e-9
 
@@ -91,11 +93,12 @@ def _interval(dim: int):
         lead = x[:, :GRID_DIMS]
         return pa.table(
             {
-                "interval": pa.array([table.column("interval")[0].as_py()], pa.int32()),
+                "range": pa.array([table.column("range")[0].as_py()], pa.int32()),
+                "part": pa.array([table.column("part")[0].as_py()], pa.int64()),
                 "ids": pa.array([np.asarray(table.column("id"))[order].tobytes()], pa.binary()),
                 "vs": pa.array([x.tobytes()], pa.binary()),
-                "low": pa.array([lead.min(0).tobytes()], pa.binary()),
-                "high": pa.array([lead.max(0).tobytes()], pa.binary()),
+                "low": pa.array([lead.min(0)], pa.list_(pa.float64())),
+                "high": pa.array([lead.max(0)], pa.list_(pa.float64())),
             }
         )
 
@@ -207,19 +210,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         (moments,) = own.mapInArrow(_moments(dim), "m binary").groupBy().applyInArrow(_adder, "m binary").first()
         _, axes = np.linalg.eigh(np.frombuffer(moments, np.float64).reshape(dim, dim))
         turned = scratch.keep(own.mapInArrow(_rotator(dim, axes[:, ::-1].copy(), width), "id long, key long, v binary"), f"turned-{dim}")
-        n = int(min(max(1, -(-number // INTERVAL)), MOST_INTERVALS))
-        ranked = _intervals(turned, n, number)
-        seq = scratch.keep(ranked.groupBy("interval").applyInArrow(_interval(dim), "interval int, ids binary, vs binary, low binary, high binary"), f"intervals-{dim}")
-        edges = [(r[0], np.frombuffer(r[1], np.float64), np.frombuffer(r[2], np.float64)) for r in seq.select("interval", "low", "high").collect()]  # MOST_INTERVALS at most
-        pairs = [(i, j) for i, low_i, high_i in edges for j, low_j, high_j in edges if i <= j and not _apart(low_i, high_i, low_j, high_j, width)]
-        table = spark.createDataFrame(pa.table({"i": pa.array([p[0] for p in pairs], pa.int32()), "j": pa.array([p[1] for p in pairs], pa.int32())}))
+        ranked = _intervals(turned, number, max(1, INTERVAL_BYTES // (8 * dim)))
+        seq = scratch.keep(ranked.groupBy("range", "part").applyInArrow(_interval(dim), "range int, part long, ids binary, vs binary, low array<double>, high array<double>"), f"intervals-{dim}")
+        seq, n = _numbered(seq)
+        table, number_of_pairs = _close_pairs(seq.select("interval", "low", "high"), n, width, scratch, f"pairs-{dim}")
         a = seq.select(F.col("interval").alias("i"), F.col("ids").alias("ids_a"), F.col("vs").alias("vs_a"))
         b = seq.select(F.col("interval").alias("j"), F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b"))
         # each task gets few pairs, whose vectors it reads one pair at a time
-        small_batches(spark, 4)
-        met = table.repartition(int(max(partitions(spark), min(len(pairs), 20_000))), "i", "j").join(a, "i").join(b, "j").withColumn("same", F.expr("i = j"))
+        small_batches(spark, 1)
+        met = table.repartition(int(max(partitions(spark), min(number_of_pairs, 20_000))), "i", "j").join(a, "i").join(b, "j").withColumn("same", F.expr("i = j"))
         counts.append(scratch.keep(met.mapInArrow(_comparer(dim, cosine, width), "id long, n long, root long"), f"found-{dim}"))
-        scratch.drop(f"turned-{dim}", f"intervals-{dim}")
+        scratch.drop(f"turned-{dim}", f"intervals-{dim}", f"pairs-{dim}")
     small_batches(spark)
     everything = rows.select("id")
     if not counts:
@@ -234,14 +235,56 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     return done.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _intervals(turned: DataFrame, n: int, number: int) -> DataFrame:
-    """Rows with their interval of the sequence by key; equal keys may be cut, by id, for boxes are taken afterwards."""
-    if n == 1:
-        return turned.withColumn("interval", F.lit(0))
+def _close_pairs(boxes: DataFrame, n: int, width: float, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """(i, j), i <= j, of intervals that are not provably apart, and their number.
+
+    Boxes of FANOUT neighbours make one box of the next level, up to at most
+    FANOUT boxes, all of whose pairs are tried; from there down, only parts of
+    close pairs meet. Boxes and pairs stay tables.
+    """
+    spark, levels = scratch.spark, [boxes.select(F.col("interval").cast("long").alias("at"), "low", "high")]
+    size = n
+    while size > FANOUT:
+        bounds = [f(F.get(side, F.lit(d))).alias(f"{side}{d}") for side, f in (("low", F.min), ("high", F.max)) for d in range(GRID_DIMS)]
+        grouped = levels[-1].groupBy(F.floor(F.col("at") / FANOUT).alias("at")).agg(*bounds)
+        sides = (F.filter(F.array(*(F.col(f"{side}{d}") for d in range(GRID_DIMS))), lambda x: x.isNotNull()).alias(side) for side in ("low", "high"))
+        levels.append(scratch.keep(grouped.select("at", *sides), f"{name}/boxes-{len(levels)}"))
+        size = -(-size // FANOUT)
+    gap = F.zip_with("gaps_low", "gaps_high", lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    far = F.aggregate(gap, F.lit(0.0), lambda total, x: total + x * x) > (width + SLACK) ** 2
+    pairs = spark.createDataFrame([(0, 0)], "i long, j long")
+    for depth, level in enumerate(reversed(levels)):
+        part = lambda c: F.explode(F.sequence(F.col(c) * FANOUT, F.col(c) * FANOUT + (FANOUT - 1)))
+        pairs = pairs.withColumn("i", part("i")).withColumn("j", part("j")).where("i <= j")
+        a, b = level.toDF("i", "low_a", "high_a"), level.toDF("j", "low_b", "high_b")
+        met = pairs.join(a, "i").join(b, "j")
+        met = met.withColumn("gaps_low", F.zip_with("low_a", "high_b", lambda x, y: x - y)).withColumn("gaps_high", F.zip_with("low_b", "high_a", lambda x, y: x - y))
+        pairs = scratch.keep(met.where(~far).select("i", "j"), f"{name}/level-{depth}")
+    return pairs.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")), pairs.count()
+
+
+def _numbered(seq: DataFrame) -> tuple[DataFrame, int]:
+    """Intervals numbered along the sequence, and their number."""
+    counts, offsets, n = seq.groupBy("range").count().orderBy("range").collect(), [], 0  # MOST_RANGES at most
+    for held, number in counts:
+        offsets.append((held, n))
+        n += number
+    starts = F.broadcast(seq.sparkSession.createDataFrame(offsets, "range int, start long"))
+    return seq.join(starts, "range").withColumn("interval", F.col("start") + F.col("part")).drop("range", "part", "start"), n
+
+
+def _intervals(turned: DataFrame, number: int, rows: int) -> DataFrame:
+    """Rows with their range of the sequence by key and their part of it, of at most ``rows`` rows.
+
+    Ranges are cut by a sample, parts exactly; equal keys may be cut, for boxes are taken afterwards.
+    """
     # Keys are spread by a hash of the id in their last bits, so that a full cell is cut evenly too.
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    cuts = turned.select(F.struct("key", spread.alias("spread")).alias("k")).sample(fraction=min(1.0, 100 * n / number), seed=3).groupBy().agg(F.sort_array(F.collect_list("k")).alias("ks")).first()[0]
-    edges = [cuts[len(cuts) * i // n] for i in range(1, n)] if cuts else []
+    n = int(min(max(1, number // (rows * RANGE)), MOST_RANGES))
+    edges = []
+    if n > 1:
+        cuts = turned.select(F.struct("key", spread.alias("spread")).alias("k")).sample(fraction=min(1.0, 100 * n / number), seed=3).groupBy().agg(F.sort_array(F.collect_list("k")).alias("ks")).first()[0]
+        edges = [cuts[len(cuts) * i // n] for i in range(1, n)] if cuts else []
     keys, spreads = np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64)
 
     def place(batches):
@@ -249,6 +292,10 @@ def _intervals(turned: DataFrame, n: int, number: int) -> DataFrame:
             key, own = np.asarray(batch.column("key")), np.asarray(batch.column("spread"))
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             at = np.array([lo + np.searchsorted(spreads[lo:hi], s, "right") if hi > lo else lo for lo, hi, s in zip(low, high, own)], np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "v")), pa.array(at)], ["id", "key", "v", "interval"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "spread", "v")), pa.array(at)], ["id", "key", "spread", "v", "range"])
 
-    return turned.withColumn("spread", spread).mapInArrow(place, "id long, key long, v binary, interval int")
+    placed = turned.withColumn("spread", spread).mapInArrow(place, "id long, key long, spread long, v binary, range int")
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("key", "spread", "id")) - 1
+    held = F.count("*").over(Window.partitionBy("range"))
+    # the grouping by range and part finds rows of a range together already
+    return placed.select("*", nth.alias("nth"), held.alias("held")).select("id", "key", "v", "range", F.floor(F.col("nth") * F.ceil(F.col("held") / rows) / F.col("held")).cast("long").alias("part"))

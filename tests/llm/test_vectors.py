@@ -46,12 +46,21 @@ def links(df):
 
 @pytest.mark.parametrize(("seed", "interval", "leaf"), [(1, 4096, 128), (2, 40, 8), (3, 17, 3)])
 def test_near_duplicates_are_the_brute_force(spark, monkeypatch, seed, interval, leaf):
-    monkeypatch.setattr(nearvec, "INTERVAL", interval)
+    monkeypatch.setattr(nearvec, "INTERVAL_BYTES", interval * 16 * 8)
+    monkeypatch.setattr(nearvec, "FANOUT", 2)
     monkeypatch.setattr(nearvec, "LEAF", leaf)
     rows = vectors(seed=seed) + ODD + [(9010, [1.0, 0.0]), (9011, [2.0, 0.0]), (9012, [0.0, 1.0])]
     assert links(near_duplicates(frame(spark, rows))) == brute_links(rows)
 
 
+def test_ranges_of_many_intervals_are_the_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nearvec, "INTERVAL_BYTES", 9 * 16 * 8)
+    monkeypatch.setattr(nearvec, "MOST_RANGES", 2)
+    monkeypatch.setattr(nearvec, "FANOUT", 3)
+    rows = vectors(seed=4)
+    assert links(near_duplicates(frame(spark, rows))) == brute_links(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_duplicates(frame(spark, []).where("false")).count() == 0
     assert links(near_duplicates(frame(spark, ODD))) == [(i, 0, i, True) for i, _ in ODD]
@@ -90,6 +99,16 @@ def test_many_query_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in top_inner_products(frame(spark, rows), every=2, k=3).collect()) == brute_top(rows, 2, 3)
 
 
+def test_candidates_too_short_for_a_block_are_not_needed():
+    axes = np.eye(3)
+    q = mips.Turned.of(np.array([0, 1]), np.array([[2.0, 0, 0], [0, 4.0, 0]]), axes)
+    best = mips._Best(2, 1)
+    assert mips.least_length(best, q) == 0.0
+    best.kth[:] = [10.5, 16.5]
+    assert 3.99 < mips.least_length(best, q) <= 4.0
+    assert mips.least_length(best, mips.Turned.of(np.array([0, 1]), np.array([[2.0, 0, 0], [0, 0, 0]]), axes)) == 0.0
+
+
 def test_ties_few_candidates_and_large_numbers(spark):
     rows = [(0, [1.0]), (3, [2.0]), (1, [2.0]), (2, [2.0])]
     assert sorted(tuple(r) for r in top_inner_products(frame(spark, rows)).collect()) == [(0, 1, 1, 131072), (0, 2, 2, 131072), (0, 3, 3, 131072)]
