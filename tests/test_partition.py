@@ -63,6 +63,48 @@ def test_interval_join_is_the_brute_force(spark, tile):
     assert sorted((x["a_k"], x["b_k"]) for x in join.interval_overlap(*frames, tile=tile).collect()) == want
 
 
+def _lengths(r, n, far=1000):
+    """Mostly short lengths, some very long and some void or null."""
+    out = []
+    for k in range(n):
+        low = r.randint(-far, far)
+        out.append((k, low, low + r.choice([0, 1, 3, 9, 40, 300, 5000, 10**7, -2])))
+    return out + [(n, None, 5), (n + 1, 5, None)]
+
+
+@pytest.mark.parametrize(("seed", "tile"), [(1, 4), (2, 16), (3, 256)])
+def test_lengths_of_many_levels_meet_once(spark, seed, tile):
+    r = random.Random(seed)
+    a, b = _lengths(r, 50), _lengths(r, 40)
+    ok = lambda x: None not in x and x[1] <= x[2]
+    want = sorted((x[0], y[0]) for x in a for y in b if ok(x) and ok(y) and x[1] <= y[2] and y[1] <= x[2])
+    frames = [spark.createDataFrame(v, "k long, l long, r long") for v in (a, b)]
+    assert sorted((x["a_k"], x["b_k"]) for x in join.interval_overlap(*frames, tile=tile).collect()) == want
+    boxes = [[(*x, *y[1:]) for x, y in zip(v, r.sample(_lengths(r, len(v) - 2), len(v))) if ok(x) and ok(y)] for v in (a, b)]
+    frames = [spark.createDataFrame(v, "k long, x_min long, x_max long, y_min long, y_max long") for v in boxes]
+    meet = lambda p, q: p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4]
+    want = sorted((p[0], q[0]) for p in boxes[0] for q in boxes[1] if meet(p, q))
+    assert sorted((x["a_k"], x["b_k"]) for x in join.box_overlap(*frames, tile=tile).collect()) == want
+    t = 30
+    edges = [[(k, low, high, r.randint(-60, 60)) for k, low, high in v if ok((k, low, high))] for v in (a, b)]
+    frames = [spark.createDataFrame(v, "k long, p_start long, p_end long, intercept long") for v in edges]
+    faces = lambda p, q: 0 < p[3] - q[3] < t and p[1] < q[2] and q[1] < p[2]
+    want = sorted((p[0], q[0]) for p in edges[0] for q in edges[1] if faces(p, q))
+    assert sorted((x["a_k"], x["b_k"]) for x in join.facing_edges(*frames, t, tile=tile).collect()) == want
+
+
+def test_a_very_long_edge_is_few_rows(spark):
+    rows = [(k, 50 * k, 50 * k + 40) for k in range(2000)] + [(2000, 0, 10**7)]
+    a = spark.createDataFrame(rows, "k long, l long, r long")
+    ends = F.col("l"), F.col("r")
+    one, two = join._lay(a, a, "__t", ends, ends, join.TILE)
+    assert max(one.where("k = 2000").count(), two.where("k = 2000").count()) <= 2 * (join.STEP + 1)
+    assert one.count() < 4 * len(rows) and two.count() < 4 * len(rows)
+    assert join.interval_overlap(a, a).count() == 2000 * 3 + 1
+    empty = a.where("false")
+    assert join.interval_overlap(a, empty).count() == join.interval_overlap(empty, a).count() == 0
+
+
 def test_range_query_over_boxes(spark):
     boxes = spark.createDataFrame([(k, x, x + 2, 0, 2) for k, x in enumerate((0, 3, 6))], "k long, x_min long, x_max long, y_min long, y_max long")
     assert sorted(r["k"] for r in spatial.query(boxes, 1, 4, 0, 2).collect()) == [0, 1]
