@@ -8,7 +8,7 @@ an equi-join key with many rows, which AQE splits.
 Tiles grow with what lies on them: a length has a level, whose tiles are
 ``STEP`` times as wide as those of the level below, so that it covers few of
 them. A pair meets on the tiles of the longer one; the shorter one goes there
-only if the other side has that level at all.
+only if there is anything of that level at all.
 """
 
 from collections.abc import Sequence
@@ -40,17 +40,22 @@ def level_of(low: Column, high: Column, size: int) -> Column:
     return F.coalesce(F.greatest(F.ceil(F.log(float(STEP), tiles_long)).cast("int") - 1, F.lit(0)), F.lit(0))
 
 
-def _levels(df: DataFrame, ends: tuple[Column, Column], size: int) -> Column:
-    """The levels that occur, a handful, as a scalar subquery."""
-    return df.agg(F.collect_set(level_of(*ends, size))).scalar()
+Ends = tuple[Column, Column]
 
 
-def _lay(a: DataFrame, b: DataFrame, name: str, a_range: tuple[Column, Column], b_range: tuple[Column, Column], size: int, levels: tuple[Column, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def _levels(a: DataFrame, b: DataFrame, *dimensions: tuple[Ends, Ends], size: int) -> list[Column]:
+    """The levels of either side, a handful in each dimension, by one scalar subquery."""
+    every = [df.select(*(level_of(*ends[side], size).alias(f"n{k}") for k, ends in enumerate(dimensions))) for side, df in enumerate((a, b))]
+    sets = F.struct(*(F.collect_set(f"n{k}").alias(f"n{k}") for k in range(len(dimensions))))
+    found = every[0].union(every[1]).agg(sets).scalar()
+    return [found.getField(f"n{k}") for k in range(len(dimensions))]
+
+
+def _lay(a: DataFrame, b: DataFrame, name: str, a_range: Ends, b_range: Ends, size: int, levels: Column) -> tuple[DataFrame, DataFrame]:
     """Both sides on tiles of one dimension: a row a tile, as a struct ``name`` of level and role, tile and width.
 
     Role 0 is for pairs whose first is at least as long by level, role 1 for the others.
     """
-    levels_a, levels_b = levels or (_levels(a, a_range, size), _levels(b, b_range, size))
 
     def places(ends: tuple[Column, Column], level: Column, role: int) -> Column:
         width = (F.pow(F.lit(float(STEP)), level) * size).cast("long")
@@ -60,12 +65,12 @@ def _lay(a: DataFrame, b: DataFrame, name: str, a_range: tuple[Column, Column],
         return F.flatten(F.transform(F.filter(levels, lambda n: n > F.col("__own")), lambda n: places(ends, n, role)))
 
     own = F.col("__own")
-    a = a.withColumn("__own", level_of(*a_range, size)).withColumn("__other", levels_b)
-    a = a.withColumn(name, F.explode(F.concat(places(a_range, own, 0), longer(a_range, F.col("__other"), 1)))).drop("__own", "__other")
-    b = b.withColumn("__own", level_of(*b_range, size)).withColumn("__other", levels_a)
-    first = F.concat(places(b_range, own, 0), longer(b_range, F.col("__other"), 0))
-    second = F.when(F.exists("__other", lambda n: n < own), places(b_range, own, 1)).otherwise(F.slice(places(b_range, own, 1), 1, 0))
-    return a, b.withColumn(name, F.explode(F.concat(first, second))).drop("__own", "__other")
+    a = a.withColumn("__own", level_of(*a_range, size)).withColumn("__levels", levels)
+    a = a.withColumn(name, F.explode(F.concat(places(a_range, own, 0), longer(a_range, F.col("__levels"), 1)))).drop("__own", "__levels")
+    b = b.withColumn("__own", level_of(*b_range, size)).withColumn("__levels", levels)
+    first = F.concat(places(b_range, own, 0), longer(b_range, F.col("__levels"), 0))
+    second = F.when(F.exists("__levels", lambda n: n < own), places(b_range, own, 1)).otherwise(F.slice(places(b_range, own, 1), 1, 0))
+    return a, b.withColumn(name, F.explode(F.concat(first, second))).drop("__own", "__levels")
 
 
 def _meet(name: str) -> list[Column]:
@@ -88,7 +93,8 @@ def facing_edges(e1: DataFrame, e2: DataFrame, t: int, keys: Sequence[str] = (),
     """
     size = max(tile, t)
     ends = [(F.col(f"{p}p_start"), F.col(f"{p}p_end")) for p in ("a_", "b_")]
-    a, b = _lay(_renamed(e1, "a_"), _renamed(e2, "b_"), "__p", *ends, size)
+    a, b = _renamed(e1, "a_"), _renamed(e2, "b_")
+    a, b = _lay(a, b, "__p", *ends, size, *_levels(a, b, ends, size=size))
     a = a.withColumn("__i", F.explode(tiles(F.col("a_intercept") - (t - 1), F.col("a_intercept"), size)))
     b = b.withColumn("__i", tile_of(F.col("b_intercept"), size))
     on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
@@ -108,8 +114,8 @@ def box_overlap(a: DataFrame, b: DataFrame, expand: int = 0, strict: bool = Fals
     right, top = F.col("a_x_max") + expand, F.col("a_y_max") + expand
     names = p.columns, q.columns
     across, along = [(F.col("a_x_min"), right), (F.col("b_x_min"), F.col("b_x_max"))], [(F.col("a_y_min"), top), (F.col("b_y_min"), F.col("b_y_max"))]
-    levels = _levels(p, along[0], tile), _levels(q, along[1], tile)
-    p, q = _lay(*_lay(p, q, "__x", *across, tile), "__y", *along, tile, levels)
+    levels = _levels(p, q, across, along, size=tile)
+    p, q = _lay(*_lay(p, q, "__x", *across, tile, levels[0]), "__y", *along, tile, levels[1])
     sides = g.box_columns("a_"), g.box_columns("b_")
     meet = g.mbr_overlap([sides[0][0], right, sides[0][2], top], sides[1]) if strict else g.mbr_touch(*sides, expand)
     once = _once("__x", F.col("a_x_min"), F.col("b_x_min")) & _once("__y", F.col("a_y_min"), F.col("b_y_min"))
@@ -120,7 +126,8 @@ def box_overlap(a: DataFrame, b: DataFrame, expand: int = 0, strict: bool = Fals
 def interval_overlap(a: DataFrame, b: DataFrame, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
     """Pairs of closed intervals (l, r) that share a point; columns as a_* and b_*."""
     p, q = _renamed(a, "a_"), _renamed(b, "b_")
-    p, q = _lay(p, q, "__t", (F.col("a_l"), F.col("a_r")), (F.col("b_l"), F.col("b_r")), tile)
+    ends = (F.col("a_l"), F.col("a_r")), (F.col("b_l"), F.col("b_r"))
+    p, q = _lay(p, q, "__t", *ends, tile, *_levels(p, q, ends, size=tile))
     on = [*_meet("__t"), *(F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys)]
     meet = (F.col("a_l") <= F.col("b_r")) & (F.col("b_l") <= F.col("a_r")) & _once("__t", F.col("a_l"), F.col("b_l"))
     return p.alias("x").join(q.alias("y"), on).where(meet).select(*p.columns[:-1], *q.columns[:-1])

@@ -97,7 +97,7 @@ def test_a_very_long_edge_is_few_rows(spark):
     rows = [(k, 50 * k, 50 * k + 40) for k in range(2000)] + [(2000, 0, 10**7)]
     a = spark.createDataFrame(rows, "k long, l long, r long")
     ends = F.col("l"), F.col("r")
-    one, two = join._lay(a, a, "__t", ends, ends, join.TILE)
+    one, two = join._lay(a, a, "__t", ends, ends, join.TILE, *join._levels(a, a, (ends, ends), size=join.TILE))
     assert max(one.where("k = 2000").count(), two.where("k = 2000").count()) <= 2 * (join.STEP + 1)
     assert one.count() < 4 * len(rows) and two.count() < 4 * len(rows)
     assert join.interval_overlap(a, a).count() == 2000 * 3 + 1
