@@ -53,8 +53,11 @@ def string(b: bytes) -> str:
     return (b[:-1] if b.endswith(b"\0") else b).decode("latin-1")
 
 
+DATETIME = ("year", "month", "day", "hour", "minute", "second")
+
+
 def datetime(b: bytes, at: int = 0) -> dict[str, int]:
-    return dict(zip(("year", "month", "day", "hour", "minute", "second"), struct.unpack_from(">6h", b, at)))
+    return dict(zip(DATETIME, struct.unpack_from(">6h", b, at)))
 
 
 def point(b: bytes, at: int = 0) -> tuple[int, int]:
@@ -101,6 +104,10 @@ def point_col(c: Column, at: int = 0) -> Column:
     return F.struct(int32_col(c, at).alias("x"), int32_col(c, at + 4).alias("y"))
 
 
+def datetime_col(c: Column, at: int = 0) -> Column:
+    return F.struct(*(int16_col(c, at + 2 * i).alias(name) for i, name in enumerate(DATETIME)))
+
+
 def point_count_col(c: Column) -> Column:
     return F.floor(F.length(c) / 8).cast("int")
 

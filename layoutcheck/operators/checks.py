@@ -115,6 +115,17 @@ def area_check(layout: Layout, layer: int | None, t: int) -> DataFrame:
     return _polygons(polygons.where(g.area(F.col("pts")) < t), "area")
 
 
+def reuse_counts(layout: Layout) -> DataFrame:
+    """layer, n_checked, n_saved: polygons that are looked at once in their cell, and those that its references repeat.
+
+    A reference saves the polygons of its own cell; references inside that cell count for themselves, once.
+    """
+    own = hierarchy.count_elements(layout)
+    placed = layout.refs.groupBy("cell_id").agg(F.count("*").alias("n_refs"))
+    saved = F.sum(F.col("n_elements") * F.coalesce("n_refs", F.lit(0)))
+    return own.join(placed, "cell_id", "left").groupBy("layer").agg(F.sum("n_elements").alias("n_checked"), saved.alias("n_saved"))
+
+
 def rectilinear_check(layout: Layout, layer: int | None = None) -> DataFrame:
     """Polygons with a slanted side."""
     polygons = layout.polygons if layer is None else layout.polygons.where(F.col("layer") == layer)

@@ -172,6 +172,15 @@ def area_check(spark, sf_dir):
     return checks.area_check(_flat(spark, sf_dir), METAL, 900)
 
 
+@query("""SELECT layer, CAST(count(*) AS BIGINT) AS n_checked, CAST(sum(coalesce(n_refs, 0)) AS BIGINT) AS n_saved
+  FROM cell_polygons LEFT JOIN (SELECT cell_id, count(*) AS n_refs FROM top_refs GROUP BY cell_id) USING (cell_id) GROUP BY layer""")
+def reuse_counts(spark, sf_dir):
+    """The layout with its vias promoted; the top cell, which holds copies of them, is left out."""
+    layout = _layout(spark, sf_dir)
+    polygons = layout.polygons.where(F.col("cell_id") != fixture.TOP)
+    return checks.reuse_counts(Layout(layout.cells, polygons, layout.refs, layout.library, layout.top))
+
+
 @query(_area_sql("true", 1200))
 def area_all_layers(spark, sf_dir):
     return checks.area_check(_flat(spark, sf_dir), None, 1200)
@@ -644,12 +653,13 @@ _DECODED = {0: "HEADER", 1: "BGNLIB", 2: "LIBNAME", 3: "UNITS", 4: "ENDLIB", 5:
 @query(
     f"""SELECT k, name, text, CAST((k * 7919) % 65536 - CASE WHEN (k * 7919) % 65536 >= 32768 THEN 65536 ELSE 0 END AS INTEGER) AS short,
   CAST((k * 70001) % 4294967296 - 2147483648 AS BIGINT) AS x, CAST(k - 1000 AS BIGINT) AS y, CASE WHEN k % 2 = 1 THEN -1.0 ELSE 1.0 END * CAST(k * 1000003 AS DOUBLE) * pow(CAST(16.0 AS DOUBLE), k % 5 - 14) AS real,
-  (k * 7919) % 65536 >= 32768 AS top_bit, CAST(1 AS INTEGER) AS n_points
+  (k * 7919) % 65536 >= 32768 AS top_bit, CAST(1 AS INTEGER) AS n_points,
+  CAST(1900 + k % 200 AS INTEGER) AS year, CAST(1 + k % 12 AS INTEGER) AS month, CAST(1 + k % 28 AS INTEGER) AS day, CAST(k % 24 AS INTEGER) AS hour, CAST(k % 60 AS INTEGER) AS minute, CAST(k % 59 AS INTEGER) AS second
   FROM (SELECT CAST(p_partkey AS BIGINT) AS k, p_name AS text FROM part) LEFT JOIN (VALUES {', '.join(f"({k}, '{v}')" for k, v in _DECODED.items())}) t(code, name) ON code = k % 11""",
     layout=False,
 )
 def decode_scalars(spark, sf_dir):
-    """Payloads of all kinds made from each part, and decoded: numbers, points, bits, strings with a trailing NUL, names of records."""
+    """Payloads of all kinds made from each part, and decoded: numbers, points, bits, strings with a trailing NUL, names of records, times."""
     k = F.col("k")
     raw = lambda v, digits: F.unhex(F.lpad(F.hex(v), digits, "0"))
     wrapped = lambda v: F.pmod(v, F.lit(1 << 32))
@@ -660,6 +670,7 @@ def decode_scalars(spark, sf_dir):
         F.concat(raw(wrapped(k * 70001 - (1 << 31)), 8), raw(wrapped(k - 1000), 8)).alias("point"),
         F.concat(raw(k % 2 * 128 + 64 + k % 5, 2), raw(k * 1000003, 14)).alias("real"),
         F.concat(F.encode("text", "ISO-8859-1"), F.unhex(F.lit("00"))).alias("text"),
+        F.concat(*(raw(v, 4) for v in (k % 200 + 1900, k % 12 + 1, k % 28 + 1, k % 24, k % 60, k % 59))).alias("time"),
     )
     at = decode.point_col(F.col("point"))
     return made.select(
@@ -672,6 +683,7 @@ def decode_scalars(spark, sf_dir):
         decode.real64_col(F.col("real")).alias("real"),
         decode.bit_col(F.col("short"), 15).alias("top_bit"),
         decode.point_count_col(F.col("point")).alias("n_points"),
+        *(decode.datetime_col(F.col("time"))[part].alias(part) for part in decode.DATETIME),
     )
 
 

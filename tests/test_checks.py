@@ -78,6 +78,13 @@ def test_a_cell_with_metal_and_via_counts_as_metal(spark):
     assert checks.enclosure_check(layout, METAL, VIA, T).count() == 0
 
 
+def test_reuse_counts(spark):
+    box = rect(0, 0, 1, 1)
+    layout = build(spark, {1: [(1, box), (1, box), (2, box)], 2: [(1, box)], 3: [(3, box)]}, [(1, 0, 0), (1, 5, 5), (2, 9, 9), (1, 2, 2)], parents=[TOP, TOP, TOP, 2])
+    assert sorted(tuple(r) for r in checks.reuse_counts(layout).collect()) == [(1, 3, 7), (2, 1, 3), (3, 1, 0)]
+    assert checks.reuse_counts(build(spark, {1: []}, [(1, 0, 0)])).collect() == []
+
+
 def test_rectilinear(spark):
     layout = build(spark, {1: [(METAL, NOTCH), (METAL, [(0, 0), (5, 5), (5, 0), (0, 0)])]}, [(1, 0, 0)])
     assert [r["poly_id"] for r in checks.rectilinear_check(layout, METAL).collect()] == [1]

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-FAST = ("area_check", "space_both", "enclosure_check", "row_partition", "rule_deck", "flatten_layers", "sweepline_prefix_sum")
+FAST = ("area_check", "space_both", "enclosure_check", "row_partition", "rule_deck", "flatten_layers", "sweepline_prefix_sum", "reuse_counts", "decode_scalars")
 
 
 def _rows(columns, rows):

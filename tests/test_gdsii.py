@@ -26,6 +26,14 @@ def test_reals(raw, value):
     assert d.real64(d.encode_real64(value)) == pytest.approx(value, rel=1e-12)
 
 
+def test_times_as_columns(spark):
+    both = bytes([0, 2, 0, 2, 0, 8, 0, 18, 0, 18, 0, 28]) + bytes([7, 200, 0, 12, 0, 31, 0, 23, 0, 59, 255, 255])
+    df = spark.createDataFrame([(bytearray(both),), (None,)], "b binary")
+    found = df.select(d.datetime_col(F.col("b")).alias("m"), d.datetime_col(F.col("b"), 12).alias("a")).collect()
+    assert (found[0]["m"].asDict(), found[0]["a"].asDict()) == (d.datetime(both), d.datetime(both, 12))
+    assert set(found[1]["m"]) == {None}
+
+
 def test_the_same_as_columns(spark):
     raw = [bytes.fromhex(h) for h in REALS]
     df = spark.createDataFrame([(bytearray(b.ljust(8, b"\0")), v) for b, v in zip(raw, map(float, REALS.values()))], "b binary, v double")
